@@ -78,3 +78,30 @@ CLEAN_SQL = """clean AS (
 act AS (
   SELECT *, CASE WHEN qualifier = '=' AND kind IN ('IC50', 'Ki') AND value_nm > 0
                  THEN 9e0 - log10(value_nm) END AS activity FROM clean)"""
+
+
+# Predictions: a score in [0, 1], a label that follows it loosely, a weight.
+PREDICTION = {
+    "id": "l_orderkey * 10 + l_linenumber",
+    "strategy": "l_returnflag",
+    "variant": "l_linestatus",
+    "p": "((l_partkey * 31 + l_linenumber * 17 + CAST(l_quantity AS BIGINT) * 7) % 997) / 997e0",
+    "y": (
+        "CASE WHEN ((l_orderkey * 13 + l_suppkey) % 101) / 1e2 < 1e-1 + 8e-1 * "
+        "((l_partkey * 31 + l_linenumber * 17 + CAST(l_quantity AS BIGINT) * 7) % 997) / 997e0 THEN 1 ELSE 0 END"
+    ),
+    "w": "1e0 - l_discount * 5e0",
+    "y_true": "4e0 + ((l_partkey * 7919) % 1000) / 2e2",
+    "y_pred": "4e0 + ((l_partkey * 7919) % 1000) / 2e2 + ((l_orderkey * 7 + l_linenumber) % 11 - 5) / 1e1",
+    "similarity": "((l_suppkey * 37 + l_partkey * 11) % 1000) / 1e3",
+    "split": "CASE WHEN l_orderkey % 20 < 14 THEN 'train' WHEN l_orderkey % 20 < 17 THEN 'val' ELSE 'test' END",
+}
+
+
+def predictions(tables, *names: str) -> DataFrame:
+    return tables("lineitem").selectExpr(*[f"{PREDICTION[n]} AS {n}" for n in names or PREDICTION])
+
+
+def pred_sql(*names: str) -> str:
+    cols = ", ".join(f"{PREDICTION[n]} AS {n}" for n in names or PREDICTION)
+    return f"pred AS (SELECT {cols} FROM lineitem)"

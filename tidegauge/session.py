@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def build_session(master: str | None = None, app: str = "tidegauge", **conf: str) -> SparkSession:
     """A session with adaptive execution on; a cluster's own settings always win."""
@@ -22,21 +25,29 @@ def build_session(master: str | None = None, app: str = "tidegauge", **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
-    local-mode session without that setting gets a folder of its own.
+    Only a local-mode session without that setting gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir", ""
+    )
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if "folder" not in _LOCAL:
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="stage-")
+    return _LOCAL["folder"]
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Cuts lineage where several branches read one expensive input.  A lost executor
+    costs a re-read, later branches still prune columns and push filters.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-            "spark.checkpoint.dir", ""
-        )
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
