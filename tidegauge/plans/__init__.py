@@ -1,3 +1,3 @@
 """Registered queries: each module binds operators to the given tables."""
 
-from tidegauge.plans import aggregates, evaluation, scalars  # noqa: F401
+from tidegauge.plans import aggregates, evaluation, joins, scalars, windows  # noqa: F401
