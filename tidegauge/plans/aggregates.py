@@ -40,7 +40,7 @@ agg AS (SELECT compound_id, avg(activity) AS mean, coalesce(stddev_samp(activity
    string_agg(DISTINCT source_db, ',' ORDER BY source_db) AS source_list, count(DISTINCT source_db) AS source_count, bool_or(dose_response) AS any_dose_response,
    avg(rep_weight) AS mw, arg_min(unit_raw, ord * 1000 + source_id) FILTER (WHERE trim(unit_raw) <> '') AS first_unit FROM t1 GROUP BY 1)
 SELECT a.compound_id, round(wmed, 6) AS value, round(m, 6) AS value_median, round(mean, 6) AS value_mean, round(std, 5) AS value_std, round(mad, 5) AS value_mad,
- round(lo, 6) AS value_min, round(hi, 6) AS value_max, n AS n_measurements, source_list, source_count, any_dose_response, first_unit, f.stereo_flag AS stereo_flag, round(mw, 9) AS mean_weight,
+ round(lo, 6) AS value_min, round(hi, 6) AS value_max, n AS n_measurements, source_list, source_count, any_dose_response, first_unit, f.stereo_flag AS stereo_flag, round(mw, 6) AS mean_weight,
  std > 5e-1 AS high_variance, std > 7e-1 AS label_noise,
  round(4e-1 * least(n / 5e0, 1e0) + 3e-1 * least(source_count / 3e0, 1e0) + 3e-1 * (CASE WHEN std > 7e-1 THEN 0e0 ELSE 1e0 END), 4) AS confidence_score,
  CASE WHEN source_count >= 2 THEN round(greatest(least(least(source_count / 3e0, 1e0) * (1e0 - least(std, 1e0)), 1e0), 0e0), 4) ELSE 0e0 END AS consensus
@@ -55,7 +55,7 @@ def replicate_agg(t):
     ]
     out = A.aggregate_replicates(rows, ["compound_id"], "activity", "rep_weight", extra=extra, status="stereo_flag")
     out = A.replicate_scores(out, "source_count")
-    digits = {"value_std": 5, "value_mad": 5, "mean_weight": 9}
+    digits = {"value_std": 5, "value_mad": 5}
     rounded = ["value", "value_median", "value_mean", "value_std", "value_mad", "value_min", "value_max", "mean_weight"]
     return out.select(
         "compound_id", *[F.round(c, digits.get(c, 6)).alias(c) for c in rounded], "n_measurements", "source_list", "source_count",

@@ -29,7 +29,7 @@ MEASUREMENT = {
         "CASE l_suppkey % 7 WHEN 0 THEN 'nM' WHEN 1 THEN ' Nano Molar' WHEN 2 THEN 'uM' "
         "WHEN 3 THEN '' WHEN 4 THEN 'furlong' WHEN 5 THEN 'picomolar' ELSE 'nm' END"
     ),
-    "assay_confidence": "5e-1 + l_discount * 4e0",
+    "assay_confidence": "5e-1 + l_discount * 40123457e-7",
     "sd_reported": "CASE WHEN l_linenumber % 2 = 0 THEN l_tax * l_extendedprice / 1e1 END",
     "filter_passed": "l_quantity < 49e0",
     "is_mouse": "l_suppkey % 25 = 0",
