@@ -1,3 +1,3 @@
 """Registered queries: each module binds operators to the given tables."""
 
-from tidegauge.plans import aggregates, evaluation, joins, pairwise, scalars, windows  # noqa: F401
+from tidegauge.plans import aggregates, evaluation, joins, pairwise, scalars, splits, windows  # noqa: F401

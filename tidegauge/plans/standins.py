@@ -105,3 +105,30 @@ def predictions(tables, *names: str) -> DataFrame:
 def pred_sql(*names: str) -> str:
     cols = ", ".join(f"{PREDICTION[n]} AS {n}" for n in names or PREDICTION)
     return f"pred AS (SELECT {cols} FROM lineitem)"
+
+
+# Rows to split: one giant group, groups of growing size, and single-row groups.
+SPLIT = {
+    "id": "p_partkey",
+    "scaffold": (
+        "CASE WHEN p_partkey % 3 = 0 THEN 'giant' "
+        "WHEN p_partkey % 3 = 1 THEN concat('series-', CAST(CAST(floor(sqrt(p_partkey)) AS INT) AS VARCHAR(9))) "
+        "ELSE concat('single-', CAST(p_partkey AS VARCHAR(19))) END"
+    ),
+    "activity": "4e0 + ((p_partkey * 7919) % 1009) / 2e2",
+    "key14": "concat('K', CAST(p_partkey - p_partkey % 11 * (CASE WHEN p_partkey % 50 = 7 THEN 1 ELSE 0 END) AS VARCHAR(19)))",
+    "label": "CASE WHEN p_size > 25 THEN 1 ELSE 0 END",
+}
+
+
+def split_rows(tables, *names: str) -> DataFrame:
+    return tables("part").selectExpr(*[f"{SPLIT[n]} AS {n}" for n in names or SPLIT])
+
+
+def split_sql(*names: str) -> str:
+    cols = ", ".join(f"{SPLIT[n]} AS {n}" for n in names or SPLIT)
+    return f"rows AS (SELECT {cols} FROM part)"
+
+
+def hash_sql(key: str, seed: int = 42) -> str:
+    return f"('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 13))::BIGINT"
