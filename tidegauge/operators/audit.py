@@ -92,3 +92,37 @@ def assert_no_overlap(left: DataFrame, right: DataFrame, key: str, what: str) ->
     shared = overlap(left, right, key).first()["n_shared"]
     if shared:
         raise RuntimeError(f"{what}: {shared} keys on both sides")
+
+
+def stage_log(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
+    """Rows in, rows out and dropped for a chain of filters, from one pass."""
+    held = F.lit(True)
+    counts = [F.count(F.lit(1)).alias("c0")]
+    for i, (_, condition) in enumerate(steps, 1):
+        held = held & yes(condition)
+        counts.append(F.count_if(held).alias(f"c{i}"))
+    lines = [
+        F.struct(F.lit(name).alias("stage"), F.col(f"c{i}").alias("rows_in"), F.col(f"c{i + 1}").alias("rows_out"),
+                 (F.col(f"c{i}") - F.col(f"c{i + 1}")).alias("dropped"))
+        for i, (name, _) in enumerate(steps)]
+    return df.agg(*counts).select(F.explode(F.array(*lines)).alias("l")).select("l.*")
+
+
+def external_verdicts(candidates: DataFrame, modelled: DataFrame, group: str, id_col: str, label: str) -> DataFrame:
+    """Per candidate set: ids, ids outside the modelled universe, labels, ordered verdict."""
+    known = modelled.select(id_col).distinct().withColumn("_in", F.lit(True))
+    joined = candidates.join(known, id_col, "left")
+    counts = joined.groupBy(group).agg(
+        F.countDistinct(id_col).alias("n_ids"),
+        F.countDistinct(F.when(F.col("_in").isNull(), F.col(id_col))).alias("n_outside"), F.count(label).alias("n_labelled"))
+    verdict = (F.when(F.col("n_ids") == 0, "EMPTY").when(F.col("n_outside") == 0, "SUBSET").when(F.col("n_outside") < 10, "TOO SMALL")
+               .when(F.col("n_labelled") == 0, "INCOMPATIBLE LABELS").otherwise("CURATION SENSITIVITY"))
+    return counts.withColumn("verdict", verdict)
+
+
+def presence_verdict(hits: DataFrame, flagged: Column) -> DataFrame:
+    """A: found and flagged; B: nowhere; C: found without a flag.  ``hits`` has place, n."""
+    landing = F.when(F.col("n") > 0, F.concat(F.col("place"), F.lit("("), F.col("n").cast("string"), F.lit(")")))
+    total = hits.agg(F.sum("n").alias("total_hits"), F.nullif(F.array_join(F.array_sort(F.collect_list(landing)), "; "), F.lit("")).alias("places"))
+    outcome = F.when((F.col("total_hits") == 0) & ~flagged, "B").when(flagged & (F.col("total_hits") > 0), "A").otherwise("C")
+    return total.withColumn("outcome", outcome)
