@@ -63,6 +63,9 @@ if __name__ == "__main__":
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from tidegauge import all_queries, build_session, oracle_statements
 
+    from tidegauge.operators import ordered
+
+    ordered.ROWS_PER_SLICE = int(os.environ.get("SLICE", ordered.ROWS_PER_SLICE))
     sf = os.environ.get("SF", "0.01")
     spark = build_session("local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",

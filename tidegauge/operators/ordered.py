@@ -20,7 +20,7 @@ MAX_SLICES = 4096
 _FLAT_LOOKUP = 64
 
 
-def slice_edges(df: DataFrame, value: str, rows_per_slice: int = ROWS_PER_SLICE) -> list[float]:
+def slice_edges(df: DataFrame, value: str, rows_per_slice: int | None = None) -> list[float]:
     """Cut points for ``value``: at most MAX_SLICES numbers reach the driver.
 
     They are fetched once and become literals, so every branch of a plan and every
@@ -33,7 +33,7 @@ def slice_edges(df: DataFrame, value: str, rows_per_slice: int = ROWS_PER_SLICE)
     ).first()
     if row is None or not row["n"]:
         return []
-    wanted = min(MAX_SLICES, max(1, -(-row["n"] // rows_per_slice)))
+    wanted = min(MAX_SLICES, max(1, -(-row["n"] // (rows_per_slice or ROWS_PER_SLICE))))
     if wanted <= 1:
         return []
     step = max(1, len(grid) // wanted)

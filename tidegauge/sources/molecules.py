@@ -1,0 +1,104 @@
+"""Structure columns from an optional chemistry toolkit.
+
+Everything downstream reads plain columns (keys, bit vectors, flags), so this is the
+only place that needs the toolkit.  It is imported inside tasks; without it the call
+fails with a clear error instead of guessing structures.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Mapping
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+# Reactive group patterns by confidence, and context exclusions.
+REACTIVE_HIGH = {
+    "chloroacetamide": "[NX3H1,NX3H2][CX3](=[OX1])[CH2][Cl,Br]",
+    "vinyl_sulfone": "[SX4](=[OX1])(=[OX1])[CX3]=[CX3]",
+    "sulfonyl_fluoride": "[SX4](=[OX1])(=[OX1])[FX1]",
+    "epoxide": "[OX2r3]1[CX4r3][CX4r3]1",
+    "alpha_halo_ketone": "[CX3](=[OX1])[CX4;!$(CC=O)][Cl,Br,I]",
+    "isocyanate": "[NX2]=[CX2]=[OX1]",
+    "isothiocyanate": "[NX2]=[CX2]=[SX1]",
+}
+REACTIVE_MEDIUM = {
+    "acrylamide": "[NX3][CX3](=[OX1])[CX3;!$(C~a)]=[CX3;!$(C~a)]",
+    "enone_refined": "[CX3;!$(C~a);!$(C([NX3])=O);!$(C([OX2])=O)](=[OX1])[CX3;!$(C~a);!$(C~[NX3]);!$(C~[OX2])]=[CX3;!$(C~a)]",
+    "aldehyde": "[CX3H1](=[OX1])[CX4,CX3;!$(C~a)]",
+    "beta_lactone": "[OX2r4]1[CX3r4](=[OX1])[CX4r4][CX4r4]1",
+    "disulfide": "[SX2H0][SX2H0]",
+}
+REACTIVE_LOW = {
+    "boronic_acid": "[BX3]([OX2H])[OX2H]",
+    "boronate_ester": "[BX3]([OX2])[OX2]",
+    "activated_nitrile": "[NX3;H1,H2][CX4][CX2]#[NX1]",
+    "cyanamide": "[NX3H1][CX2]#[NX1]",
+    "alpha_ketoamide": "[CX3](=[OX1])[CX3](=[OX1])[NX3]",
+}
+CONTEXT_EXCLUSIONS = {
+    "aromatic_conjugated_enone": "a[CX3]=[CX3][CX3](=[OX1])",
+    "aryl_nitrile": "a[CX2]#[NX1]",
+    "alkyl_nitrile_plain": "[CX4;!$(C[NX3])][CX2]#[NX1]",
+    "hetaryl_nitrile": "[n,nH][c][CX2]#[NX1]",
+    "aryl_vinyl": "a[CX3]=[CX3]",
+    "full_amide_resonance": "[NX3][CX3](=[OX1])[NX3]",
+}
+REVERSIBLE = ["boronic_acid", "boronate_ester", "activated_nitrile", "cyanamide", "alpha_ketoamide"]
+WEAK_IN_CONTEXT = ["activated_nitrile", "cyanamide"]
+
+
+def _toolkit():
+    try:
+        from rdkit import Chem
+    except ImportError as error:
+        raise RuntimeError("structure columns need RDKit on every executor") from error
+    return Chem
+
+
+def add_structure_columns(df: DataFrame, smiles: str, bits: int = 1024, radius: int = 2) -> DataFrame:
+    """Canonical string, keys, scaffold, descriptors and on-bits in one pass per row batch."""
+    fields = ("canonical_smiles string, inchikey string, inchikey_14 string, scaffold string, mw double, logp double, "
+              "hbd int, hba int, heavy_atoms int, ring_count int, frac_sp3 double, on_bits array<int>, error string")
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        Chem = _toolkit()
+        from rdkit.Chem import AllChem, Descriptors
+        from rdkit.Chem.Scaffolds import MurckoScaffold
+
+        names = [f.strip().split(" ")[0] for f in fields.split(",")]
+        for pdf in batches:
+            rows = []
+            for text in pdf[smiles]:
+                mol = Chem.MolFromSmiles(text) if isinstance(text, str) and text.strip() else None
+                if mol is None:
+                    rows.append(dict.fromkeys(names) | {"error": "unparsable"})
+                    continue
+                key = Chem.MolToInchiKey(mol)
+                fp = AllChem.GetMorganFingerprintAsBitVect(mol, radius, nBits=bits)
+                rows.append({
+                    "canonical_smiles": Chem.MolToSmiles(mol), "inchikey": key, "inchikey_14": key[:14],
+                    "scaffold": MurckoScaffold.MurckoScaffoldSmiles(mol=mol), "mw": Descriptors.MolWt(mol),
+                    "logp": Descriptors.MolLogP(mol), "hbd": Descriptors.NumHDonors(mol), "hba": Descriptors.NumHAcceptors(mol),
+                    "heavy_atoms": mol.GetNumHeavyAtoms(), "ring_count": Descriptors.RingCount(mol),
+                    "frac_sp3": Descriptors.FractionCSP3(mol), "on_bits": list(fp.GetOnBits()), "error": None})
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+
+    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(describe, f"{base}, {fields}")
+
+
+def match_patterns(df: DataFrame, smiles: str, libraries: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """One array column per library with the names of its patterns found in the structure."""
+    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    schema = base + "".join(f", {name} array<string>" for name in libraries)
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        Chem = _toolkit()
+        compiled = {lib: {n: Chem.MolFromSmarts(p) for n, p in patterns.items()} for lib, patterns in libraries.items()}
+        for pdf in batches:
+            mols = [Chem.MolFromSmiles(s) if isinstance(s, str) else None for s in pdf[smiles]]
+            found = {lib: [[n for n, p in pats.items() if m is not None and m.HasSubstructMatch(p)] for m in mols] for lib, pats in compiled.items()}
+            yield pdf.assign(**found)
+
+    return df.mapInPandas(match, schema)
