@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.session import stage
+
 ROWS_PER_SLICE = 250_000
 MAX_SLICES = 4096
 _FLAT_LOOKUP = 64
@@ -149,18 +151,22 @@ def quantiles(
     return steps.groupBy(*keys).agg(*[at_quantile(q).alias(name) for name, q in wanted.items()])
 
 
-def group_mad(
-    df: DataFrame, keys: Sequence[str], value: str, factor: float, out: str = "mad"
-) -> DataFrame:
-    """Scaled median absolute deviation per key; 0 for keys with one value."""
-    centre = quantiles(df, keys, value, {"_centre": 0.5})
-    deviation = join_back(df.select(*keys, value), centre, keys).withColumn(
-        "_dev", F.abs(F.col(value) - F.col("_centre"))
-    )
-    steps = ladder(deviation, keys, "_dev")
-    return steps.groupBy(*keys).agg(
-        F.when(F.max("all_n") < 2, F.lit(0.0)).otherwise(F.lit(factor) * at_quantile(0.5)).alias(out)
-    )
+def mad_of_ladder(steps: DataFrame, keys: Sequence[str], factor: float, out: str = "mad") -> DataFrame:
+    """Scaled median absolute deviation per key from a (staged) ladder; 0 for one value.
+
+    Deviations are taken on counted values, so ties stay collapsed.
+    """
+    centre = steps.groupBy(*keys).agg(at_quantile(0.5).alias("_centre"))
+    counted = join_back(steps.select(*keys, "v", "n"), centre, keys)
+    away = counted.groupBy(*keys, F.abs(F.col("v") - F.col("_centre")).alias("v")).agg(F.sum("n").alias("n"))
+    run = running_totals(away, keys, "v", ["n"])
+    return run.groupBy(*keys).agg(
+        F.when(F.max("all_n") < 2, F.lit(0.0)).otherwise(F.lit(factor) * at_quantile(0.5)).alias(out))
+
+
+def group_mad(df: DataFrame, keys: Sequence[str], value: str, factor: float, out: str = "mad") -> DataFrame:
+    """``mad_of_ladder`` of a frame; the ladder is staged because it is read three times."""
+    return mad_of_ladder(stage(ladder(df, keys, value)), keys, factor, out)
 
 
 def join_back(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -23,20 +23,33 @@ from tidegauge.operators.dedup import keep_first
 from tidegauge.session import stage
 
 BLOCK = 2048
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1024
+CELL_ROWS = 1024
 
 
-def profiles(items: DataFrame, tokens: str, *attributes: str) -> DataFrame:
-    """One row per distinct token set (and attributes): ``pid``, ``tokens``, ``n_members``, ``member``."""
-    held = items.withColumn("_t", F.array_sort(F.array_distinct(F.col(tokens)))).filter(F.size("_t") > 0)
-    grouped = held.groupBy("_t", *attributes).agg(F.count(F.lit(1)).alias("n_members"), F.min("id").alias("member"))
-    return grouped.withColumnRenamed("_t", "tokens")
+def with_set_key(items: DataFrame, tokens: str) -> DataFrame:
+    """Sorted distinct tokens as ``tokens`` and their SHA-256 as ``set_key``; empty sets go."""
+    held = items.withColumn("tokens", F.array_sort(F.array_distinct(F.col(tokens)))).filter(F.size("tokens") > 0)
+    return held.withColumn("set_key", F.sha2(F.array_join(F.col("tokens").cast("array<string>"), "\u0001"), 256))
+
+
+def token_sets(items: DataFrame, tokens: str) -> DataFrame:
+    """One row per distinct set: ``set_key``, ``pid`` (smallest id), ``n_members``, ``tokens``.
+
+    Partial aggregation keeps one token array per set and task, so copies never travel.
+    """
+    return stage(with_set_key(items, tokens).groupBy("set_key").agg(
+        F.min("id").alias("pid"), F.count(F.lit(1)).alias("n_members"), F.any_value("tokens").alias("tokens")))
 
 
 def similar_sets(items: DataFrame, tokens: str, threshold: float) -> DataFrame:
     """Distinct token sets with Tanimoto >= threshold: ``left``, ``right`` (ids of the
     smallest member of each set, left < right) and ``similarity``."""
-    sets = stage(profiles(items, tokens).select(F.col("member").alias("pid"), "tokens"))
+    return similar_pairs(token_sets(items, tokens), threshold)
+
+
+def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs among the rows of ``token_sets``."""
     pairs = sets.select("pid", F.explode("tokens").alias("token"))
     frequency = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # Rarest first; the token breaks ties so both sides agree on the order.
@@ -73,11 +86,12 @@ def cliff_classes(
     values that have a partner at distance ``delta`` on the other side, so a crowd with
     close values emits nothing and does no pairwise work.
     """
-    classes = stage(_classes(items, tokens, value))
+    sets = token_sets(items, tokens)
+    classes = stage(_classes(items, tokens, value, sets))
     ends = classes.groupBy("pid").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     same = ends.select(F.col("pid").alias("left"), F.col("pid").alias("right"), F.lit(1.0).alias("similarity"))
     named = lambda c, s: ends.select(F.col("pid").alias(c), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
-    edges = similar_sets(items, tokens, threshold).unionByName(same).join(named("left", "a"), "left").join(named("right", "b"), "right")
+    edges = similar_pairs(sets, threshold).unionByName(same).join(named("left", "a"), "left").join(named("right", "b"), "right")
     up = edges.filter(F.col("hi_b") - F.col("lo_a") >= delta).withColumn("up", F.lit(True))
     down = edges.filter((F.col("hi_a") - F.col("lo_b") >= delta) & (F.col("left") != F.col("right"))).withColumn("up", F.lit(False))
     side = lambda c, s: classes.select(F.col("pid").alias(c), F.col("member").alias(f"id_{s}"), F.col(value).alias(f"v_{s}"), F.col("n_members").alias(f"n_{s}"))
@@ -92,24 +106,22 @@ def cliff_classes(
     return met.select(
         pick("id_a", "id_b").alias("id_1"), pick("id_b", "id_a").alias("id_2"), "similarity",
         pick("v_a", "v_b").alias("value_1"), pick("v_b", "v_a").alias("value_2"), gap.alias("delta"),
-        severity(gap).alias("severity"), (F.col("n_a") * F.col("n_b")).alias("n_pairs"))
+        severity(gap).alias("severity"), pick("n_a", "n_b").alias("n_1"), pick("n_b", "n_a").alias("n_2"),
+        (F.col("n_a") * F.col("n_b")).alias("n_pairs"))
 
 
-def _classes(items: DataFrame, tokens: str, value: str) -> DataFrame:
+def _classes(items: DataFrame, tokens: str, value: str, sets: DataFrame) -> DataFrame:
     """(token set, value) classes with the id of their set's smallest member as ``pid``."""
-    by_value = profiles(items, tokens, value)
-    ids = profiles(items, tokens).select("tokens", F.col("member").alias("pid"))
-    return by_value.join(ids, "tokens").select("pid", "member", value, "n_members")
+    by_value = with_set_key(items, tokens).groupBy("set_key", value).agg(F.min("id").alias("member"), F.count(F.lit(1)).alias("n_members"))
+    return by_value.join(sets.select("set_key", "pid"), "set_key").select("pid", "member", value, "n_members")
 
 
 def cliff_statistics(items: DataFrame, tokens: str, value: str, threshold: float = K.CLIFF_SIMILARITY, delta: float = K.CLIFF_DELTA) -> DataFrame:
     """Per item class: partner count, largest difference, severity."""
-    classes = cliff_classes(items, tokens, value, threshold, delta)
-    sizes = _classes(items, tokens, value).select(F.col("member").alias("id"), "n_members")
-    ends = classes.select(F.explode(F.array(
-        F.struct(F.col("id_1").alias("id"), F.col("id_2").alias("other"), F.col("delta").alias("d")),
-        F.struct(F.col("id_2").alias("id"), F.col("id_1").alias("other"), F.col("delta").alias("d")))).alias("e")).select("e.*")
-    counted = ends.join(sizes.select(F.col("id").alias("other"), "n_members"), "other")
+    pairs = cliff_classes(items, tokens, value, threshold, delta)
+    counted = pairs.select(F.explode(F.array(
+        F.struct(F.col("id_1").alias("id"), F.col("n_2").alias("n_members"), F.col("delta").alias("d")),
+        F.struct(F.col("id_2").alias("id"), F.col("n_1").alias("n_members"), F.col("delta").alias("d")))).alias("e")).select("e.*")
     return counted.groupBy("id").agg(F.sum("n_members").alias("n_partners"), F.max("d").alias("max_delta")).withColumn(
         "severity", severity(F.col("max_delta")))
 
@@ -149,7 +161,7 @@ def nearest(
     q_set = stage(queries.groupBy("vector").agg(F.min("id").alias("qid")))
 
     n_refs = ref_set.count()
-    n_pivots = int(min(MAX_PIVOTS, max(1, round(n_refs**0.5))))
+    n_pivots = int(min(MAX_PIVOTS, max(1, -(-n_refs // CELL_ROWS))))
     order = F.md5(F.concat_ws("|", F.col("rid").cast("string"), F.lit(str(seed))))
     pivots = _matrix(pd.Series([r["vector"] for r in ref_set.orderBy(order, "rid").limit(n_pivots).collect()]))
     if not len(pivots):

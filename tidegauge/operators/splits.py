@@ -20,7 +20,7 @@ from tidegauge.operators import audit
 from tidegauge.operators.dedup import every_kth, linspace_hit, quantile_bins
 from tidegauge.operators.joins import edge_votes, route
 from tidegauge.operators.ordered import at_quantile, ladder, positions, running_totals
-from tidegauge.operators.pairwise import profiles, similar_sets
+from tidegauge.operators.pairwise import similar_pairs, token_sets, with_set_key
 from tidegauge.session import stage
 
 
@@ -289,16 +289,16 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: int =
 # ---------------------------------------------------------------- similarity clusters
 
 
-def centroid_clusters(items: DataFrame, tokens: str, cutoff: float) -> DataFrame:
-    """Cluster of every distinct token set: ``pid``, ``n_members``, ``centroid``.
+def centroid_clusters(sets: DataFrame, cutoff: float) -> DataFrame:
+    """Cluster of every row of ``token_sets``: ``pid``, ``n_members``, ``centroid``.
 
     The sequential rule visits sets by falling neighbour count (then id) and opens a
     cluster at each set not yet taken.  A set opens a cluster exactly when no earlier
     neighbour does, so rounds settle every set that precedes its open neighbours; each
     set then joins its earliest neighbouring centroid.
     """
-    nodes = stage(profiles(items, tokens).select(F.col("member").alias("pid"), "n_members"))
-    edges = similar_sets(items, tokens, cutoff)
+    nodes = sets.select("pid", "n_members")
+    edges = stage(similar_pairs(sets, cutoff).select("left", "right"))
     links = stage(edges.select(F.col("left").alias("u"), F.col("right").alias("v")).unionByName(
         edges.select(F.col("right").alias("u"), F.col("left").alias("v"))))
     weight = links.join(nodes.select(F.col("pid").alias("v"), "n_members"), "v").groupBy("u").agg(F.sum("n_members").alias("_d"))
@@ -333,11 +333,11 @@ def centroid_clusters(items: DataFrame, tokens: str, cutoff: float) -> DataFrame
 
 
 def similarity_split(
-    items: DataFrame, tokens: str, cutoff: float, test_share: float = 0.15, val_share: float = 0.10,
+    items: DataFrame, tokens: str, sets: DataFrame, cutoff: float, test_share: float = 0.15, val_share: float = 0.10,
     cap_share: float = 0.10, seed: int = 42,
 ) -> tuple[DataFrame, dict]:
     """Smallest clusters to test, then val, the rest to train: ``id``, ``split``, and figures."""
-    clusters = stage(centroid_clusters(items, tokens, cutoff))
+    clusters = stage(centroid_clusters(sets, cutoff))
     groups = stage(clusters.groupBy("centroid").agg(F.sum("n_members").alias("size")).withColumn("h", seeded_hash(F.col("centroid"), seed)))
     n, n_clusters, largest = groups.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0))).first()
     test_budget, val_budget = math.ceil(test_share * n), math.ceil(val_share * n)
@@ -348,9 +348,8 @@ def similarity_split(
     labels = test.filter("in_test").select("centroid", F.lit("test").alias("split")).unionByName(
         val.filter("in_val").select("centroid", F.lit("val").alias("split")))
     by_set = clusters.join(labels, "centroid", "left").select("pid", F.coalesce("split", F.lit("train")).alias("split"))
-    keyed = items.withColumn("_t", F.array_sort(F.array_distinct(tokens)))
-    sets = profiles(items, tokens).select(F.col("tokens").alias("_t"), F.col("member").alias("pid"))
-    rows = stage(keyed.join(sets, "_t").join(by_set, "pid").select("id", "split"))
+    keyed = with_set_key(items, tokens).select("id", "set_key")
+    rows = stage(keyed.join(sets.select("set_key", "pid"), "set_key").join(by_set, "pid").select("id", "split"))
     sizes = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     return rows, {"cutoff": cutoff, "n_clusters": n_clusters, "largest_fraction": round(largest / n, 4) if n else 0.0,
                   "n_test": sizes.get("test", 0), "n_val": sizes.get("val", 0), "test_budget": test_budget}
@@ -360,8 +359,9 @@ def adaptive_similarity_split(items: DataFrame, tokens: str, cutoffs: Sequence[f
     """First cut-off with a sound partition, else the least bad one, marked degenerate."""
     best = None
     tried = []
+    sets = token_sets(items, tokens)
     for cutoff in cutoffs:
-        rows, info = similarity_split(items, tokens, cutoff, **options)
+        rows, info = similarity_split(items, tokens, sets, cutoff, **options)
         tried.append(cutoff)
         share, k, budget = info["largest_fraction"], info["n_clusters"], info["test_budget"]
         sound = share <= 0.50 and k >= 100 and info["n_val"] > 0 and info["n_test"] >= 0.8 * budget

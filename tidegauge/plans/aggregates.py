@@ -22,10 +22,13 @@ T1_SQL = f"""{TIER_SQL}, t1 AS (SELECT *, least(greatest(assay_confidence * (CAS
 
 
 def tier_one(t):
-    """Tier-one records, written once: every later stage reads them several times."""
+    """Tier-one records from the staged tier table: written once, read by every later stage.
+
+    The tier is a partition column, so readers open only their own folder.
+    """
     keep = ["compound_id", "source_id", "source_db", "ord", "unit_raw", "dose_response", "stereo_flag", "activity"]
-    rows = tiered(t).filter(F.col("tier") == "T1")
-    return stage(rows.select(*keep, weight_of_replicate().alias("rep_weight")))
+    table = stage(tiered(t).select(*keep, weight_of_replicate().alias("rep_weight"), "tier"), "tier")
+    return table.filter("tier = 'T1'").drop("tier")
 
 
 @query("A01 A02 A03 A04 A05 A06 A07 A08 A09 A15", f"""

@@ -9,7 +9,7 @@ from tidegauge.functions import expressions as X
 from tidegauge.operators import audit as Q
 from tidegauge.operators import aggregate as A
 from tidegauge.operators.ordered import attach_scalars
-from tidegauge.plans.scalars import TIER_SQL, tiered
+from tidegauge.plans.scalars import TIER_SQL, tier_table
 from tidegauge.registry import query
 
 
@@ -19,7 +19,7 @@ WITH {TIER_SQL}, t1 AS (SELECT * FROM tiered WHERE tier = 'T1'), c AS (SELECT co
 SELECT 'range' AS category, 'activity outside valid range' AS "check", CASE WHEN a > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, a AS value, n FROM c UNION ALL SELECT 'type', 'Ki in tier one', CASE WHEN b > 0 THEN 'FAIL' ELSE 'PASS' END, b, n FROM c
 UNION ALL SELECT 'unit', 'suspicious or unknown units', CASE WHEN u > 0 THEN 'WARN' ELSE 'PASS' END, u, n FROM c UNION ALL SELECT 'stereo', 'undefined stereo', CASE WHEN s > 100 THEN 'WARN' ELSE 'PASS' END, s, n FROM c""")
 def qc_findings(t):
-    return Q.findings(tiered(t).filter("tier = 'T1'"), [
+    return Q.findings(tier_table(t, "activity", "kind", "unit_flag", "stereo_flag").filter("tier = 'T1'"), [
         ("range", "activity outside valid range", ~X.in_activity_range(F.col("activity")), "FAIL", 0),
         ("type", "Ki in tier one", F.col("kind") == "Ki", "FAIL", 0),
         ("unit", "suspicious or unknown units", F.col("unit_flag").isin("suspicious", "unknown"), "WARN", 0),
@@ -85,7 +85,8 @@ def presence_verdict(t):
 WITH {TIER_SQL} SELECT source_db, CASE WHEN dose_response THEN 'high' WHEN is_mouse THEN 'low' ELSE 'none' END AS confidence, count(*) AS n, count(DISTINCT compound_id) AS n_compounds FROM tiered WHERE tier IN ('T1', 'T2') GROUP BY 1, 2""")
 def flag_inspection(t):
     level = X.first_rule([(F.col("dose_response"), "high"), (F.col("is_mouse"), "low")], "none")
-    return tiered(t).filter(F.col("tier").isin("T1", "T2")).groupBy("source_db", level.alias("confidence")).agg(
+    rows = tier_table(t, "source_db", "dose_response", "is_mouse", "compound_id")
+    return rows.filter(F.col("tier").isin("T1", "T2")).groupBy("source_db", level.alias("confidence")).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("compound_id").alias("n_compounds"))
 
 

@@ -34,7 +34,7 @@ def similar_sets(t):
 
 @query("J08 D6", f"WITH {CLIFF_SQL} SELECT id_1, id_2, similarity, value_1, value_2, delta, severity, n_pairs FROM cliff")
 def pair_cliffs(t):
-    return P.cliff_classes(documents_as_sets(t), "tokens", "value").withColumn("similarity", F.round("similarity", 6))
+    return P.cliff_classes(documents_as_sets(t), "tokens", "value").withColumn("similarity", F.round("similarity", 6)).drop("n_1", "n_2")
 
 
 @query("J08", f"""

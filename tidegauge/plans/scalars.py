@@ -8,6 +8,7 @@ from tidegauge import constants as K
 from tidegauge.functions import expressions as X
 from tidegauge.plans.standins import CLEAN_SQL, comp_sql, compounds, meas_sql, measurements
 from tidegauge.registry import query
+from tidegauge.session import stage
 
 
 def with_activity(frame):
@@ -359,6 +360,11 @@ def tiered(t):
         F.col("filter_passed"), F.col("is_mouse"), F.col("unit_flag")))
 
 
+def tier_table(t, *names):
+    """The tier table as the pipeline stores it: written once, the tier is a folder."""
+    return stage(tiered(t).select(*names, "tier"), "tier")
+
+
 @query("P17", f"""
 WITH {TIER_SQL} SELECT tier, source_db, count(*) AS n, round(avg(activity), 5) AS mean_activity FROM tiered GROUP BY 1, 2""")
 def tier_case(t):
@@ -414,7 +420,7 @@ WITH {TIER_SQL}, two AS (SELECT 'T1' AS source_tier, compound_id, CASE WHEN acti
    WHEN qualifier IN ('>', '>=') AND 9e0 - log10(value_nm) < 6 THEN 0 END FROM tiered WHERE tier = 'T2')
 SELECT source_tier, activity_class, count(*) AS n, count(DISTINCT compound_id) AS n_compounds FROM two GROUP BY 1, 2""")
 def interval_label(t):
-    rows = tiered(t)
+    rows = tier_table(t, "compound_id", "value_nm", "qualifier", "activity")
     bounds = X.censored_bounds(F.col("value_nm"), F.col("qualifier"))
     label = F.when(F.col("tier") == "T1", (F.col("activity") >= K.ACTIVE_FROM).cast("int")).otherwise(
         X.interval_class(bounds["activity_lower"], bounds["activity_upper"]))
@@ -430,7 +436,7 @@ WITH {TIER_SQL} SELECT CASE tier WHEN 'T1' THEN CASE WHEN weight >= 40 THEN 'T1_
  round(sum(CASE tier WHEN 'T1' THEN CASE WHEN weight >= 40 THEN 1e0 WHEN weight >= 20 THEN 9e-1 ELSE 8e-1 END WHEN 'T2' THEN 5e-1 ELSE 3e-1 END), 4) AS fidelity_weight
 FROM tiered WHERE tier <> 'Ki' GROUP BY 1, 2""")
 def fidelity_union(t):
-    rows = tiered(t)
+    rows = tier_table(t, "weight")
     level = X.first_rule([(F.col("weight") >= 40, "T1_high"), (F.col("weight") >= 20, "T1_confirmed")], "T1_standard")
     parts = [rows.filter(F.col("tier") == name).select(lvl.alias("fidelity_level"), F.lit(weak).alias("is_weak_label"))
              for name, lvl, weak in (("T1", level, False), ("T2", F.lit("T2_censored"), False), ("T3", F.lit("T3_weak"), True))]
@@ -535,7 +541,7 @@ WITH {TIER_SQL} SELECT compound_id, CASE WHEN qualifier = '=' AND activity BETWE
  count(*) AS n FROM tiered WHERE tier = 'Ki' GROUP BY 1, 2""")
 def ki_label(t):
     usable = (F.col("qualifier") == "=") & X.in_activity_range(F.col("activity"))
-    return tiered(t).filter(F.col("tier") == "Ki").groupBy(
+    return tier_table(t, "compound_id", "qualifier", "activity").filter(F.col("tier") == "Ki").groupBy(
         "compound_id", F.when(usable, (F.col("activity") >= K.ACTIVE_FROM).cast("int")).alias("activity_class")
     ).agg(F.count(F.lit(1)).alias("n"))
 
