@@ -123,6 +123,6 @@ def external_verdicts(candidates: DataFrame, modelled: DataFrame, group: str, id
 def presence_verdict(hits: DataFrame, flagged: Column) -> DataFrame:
     """A: found and flagged; B: nowhere; C: found without a flag.  ``hits`` has place, n."""
     landing = F.when(F.col("n") > 0, F.concat(F.col("place"), F.lit("("), F.col("n").cast("string"), F.lit(")")))
-    total = hits.agg(F.sum("n").alias("total_hits"), F.nullif(F.array_join(F.array_sort(F.collect_list(landing)), "; "), F.lit("")).alias("places"))
+    total = hits.agg(F.sum("n").alias("total_hits"), F.nullif(F.array_join(F.sort_array(F.collect_list(landing)), "; "), F.lit("")).alias("places"))
     outcome = F.when((F.col("total_hits") == 0) & ~flagged, "B").when(flagged & (F.col("total_hits") > 0), "A").otherwise("C")
     return total.withColumn("outcome", outcome)

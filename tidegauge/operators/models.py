@@ -110,14 +110,14 @@ def vocabulary(df: DataFrame, tokens: str, size: int) -> DataFrame:
     """Most frequent tokens of the fitted rows with their index, ties by token."""
     counts = df.select(F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     top = counts.orderBy(F.desc("df"), "token").limit(size)
-    return top.agg(F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("k"), "token"))).alias("v")).select(
+    return top.agg(F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("k"), "token"))).alias("v")).select(
         F.posexplode("v").alias("index", "e")).select("index", "e.token", (-F.col("e.k")).alias("df"))
 
 
 def encode_tokens(df: DataFrame, id_col: str, tokens: str, vocab: DataFrame) -> DataFrame:
     """Sorted vocabulary indices per row; the vocabulary is bounded by its size."""
     hits = df.select(id_col, F.explode(F.array_distinct(tokens)).alias("token")).join(F.broadcast(vocab.select("token", "index")), "token")
-    per_id = hits.groupBy(id_col).agg(F.array_sort(F.collect_list("index")).alias("bits"))
+    per_id = hits.groupBy(id_col).agg(F.sort_array(F.collect_list("index")).alias("bits"))
     return df.select(id_col).join(per_id, id_col, "left").withColumn("bits", F.coalesce("bits", F.array().cast("array<int>")))
 
 

@@ -10,6 +10,7 @@ happens inside slices.  The cut points only steer work, so results stay exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,49 +18,55 @@ from pyspark.sql import functions as F
 
 from tidegauge.session import stage
 
-ROWS_PER_SLICE = 250_000
+ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 4096
+COUNT_FIRST_BYTES = 1 << 28
 _FLAT_LOOKUP = 64
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    """Optimizer's size estimate; it only decides whether counting first is worth it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def slice_edges(df: DataFrame, value: str, rows_per_slice: int | None = None) -> list[float]:
     """Cut points for ``value``: at most MAX_SLICES numbers reach the driver.
 
     They are fetched once and become literals, so every branch of a plan and every
     retried task sees the same slices.
     """
-    grid = [i / 1024 for i in range(1, 1024)]
+    per_slice = rows_per_slice or ROWS_PER_SLICE
+    if _estimated_bytes(df) < COUNT_FIRST_BYTES and df.count() <= per_slice:
+        return []
+    grid = ", ".join(f"{i / MAX_SLICES!r}D" for i in range(1, MAX_SLICES))
     row = df.select(F.col(value).cast("double").alias("v")).agg(
-        F.count("v").alias("n"),
-        F.percentile_approx("v", grid, 10_000).alias("edges"),
-    ).first()
+        F.count("v").alias("n"), F.expr(f"percentile_approx(v, array({grid}), 10000)").alias("edges")).first()
     if row is None or not row["n"]:
         return []
-    wanted = min(MAX_SLICES, max(1, -(-row["n"] // (rows_per_slice or ROWS_PER_SLICE))))
+    wanted = min(MAX_SLICES, max(1, -(-row["n"] // per_slice)))
     if wanted <= 1:
         return []
-    step = max(1, len(grid) // wanted)
-    return sorted(set(row["edges"][step - 1 :: step]))
+    step = max(1, MAX_SLICES // wanted)
+    return sorted({e for e in row["edges"][step - 1 :: step] if math.isfinite(e)})
+
 
+def slice_of(value: str, edges: Sequence[float]) -> Column:
+    """Index of the slice holding ``value``; equal values always share a slice.
 
-def slice_of(value: Column, edges: Sequence[float]) -> Column:
-    """Index of the slice holding ``value``; equal values always share a slice."""
+    Many slices are found in two steps: the block of edges, then the place in it.
+    """
     if not edges:
         return F.lit(0)
-
-    def below(bounds: Column) -> Column:
-        return F.size(F.filter(bounds, lambda e: e < value.cast("double")))
-
+    literal = lambda es: f"array({', '.join(f'{float(e)!r}D' for e in es)})"
+    below = lambda bounds: f"size(filter({bounds}, e -> e < cast(`{value}` AS DOUBLE)))"
     if len(edges) <= _FLAT_LOOKUP:
-        return below(F.array(*[F.lit(float(e)) for e in edges]))
+        return F.expr(below(literal(edges)))
     width = int(len(edges) ** 0.5) + 1
-    coarse = F.array(*[F.lit(float(e)) for e in edges[width - 1 :: width]])
-    fine = F.array(
-        *[F.array(*[F.lit(float(e)) for e in edges[i : i + width]]) for i in range(0, len(edges), width)]
-    )
-    block = below(coarse)
-    inner = F.when(block * width < len(edges), below(F.element_at(fine, block + 1))).otherwise(0)
-    return block * width + inner
+    blocks = [edges[i : i + width] for i in range(0, len(edges), width)]
+    fine = F.expr(f"array({', '.join(literal(b) for b in blocks)})")
+    block = F.expr(below(literal(edges[width - 1 :: width])))
+    inside = F.size(F.filter(F.try_element_at(fine, block + 1), lambda e: e < F.col(value).cast("double")))
+    return block * width + F.greatest(F.coalesce(inside, F.lit(0)), F.lit(0))
 
 
 def running_totals(
@@ -77,7 +84,7 @@ def running_totals(
     edges = slice_edges(df, order) if edges is None else edges
     if not edges:
         return _running_totals_unsliced(df, keys, order, measures)
-    sliced = df.withColumn("_slice", slice_of(F.col(order), edges))
+    sliced = df.withColumn("_slice", slice_of(order, edges))
     per_slice = sliced.groupBy(*keys, "_slice").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
     ahead = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -159,7 +166,9 @@ def mad_of_ladder(steps: DataFrame, keys: Sequence[str], factor: float, out: str
     centre = steps.groupBy(*keys).agg(at_quantile(0.5).alias("_centre"))
     counted = join_back(steps.select(*keys, "v", "n"), centre, keys)
     away = counted.groupBy(*keys, F.abs(F.col("v") - F.col("_centre")).alias("v")).agg(F.sum("n").alias("n"))
-    run = running_totals(away, keys, "v", ["n"])
+    # Deviations are no more than the counted values they come from.
+    edges = [] if steps.count() <= ROWS_PER_SLICE else None
+    run = running_totals(away, keys, "v", ["n"], edges)
     return run.groupBy(*keys).agg(
         F.when(F.max("all_n") < 2, F.lit(0.0)).otherwise(F.lit(factor) * at_quantile(0.5)).alias(out))
 

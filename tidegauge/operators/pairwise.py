@@ -28,18 +28,20 @@ CELL_ROWS = 1024
 
 
 def with_set_key(items: DataFrame, tokens: str) -> DataFrame:
-    """Sorted distinct tokens as ``tokens`` and their SHA-256 as ``set_key``; empty sets go."""
-    held = items.withColumn("tokens", F.array_sort(F.array_distinct(F.col(tokens)))).filter(F.size("tokens") > 0)
+    """Sorted distinct tokens as ``tokens`` and their SHA-256 as ``set_key``."""
+    held = items.withColumn("tokens", F.sort_array(F.array_distinct(F.col(tokens))))
     return held.withColumn("set_key", F.sha2(F.array_join(F.col("tokens").cast("array<string>"), "\u0001"), 256))
 
 
 def token_sets(items: DataFrame, tokens: str) -> DataFrame:
-    """One row per distinct set: ``set_key``, ``pid`` (smallest id), ``n_members``, ``tokens``.
+    """One row per distinct non-empty set: ``set_key``, ``pid`` (smallest id), ``n_members``, ``tokens``.
 
     Partial aggregation keeps one token array per set and task, so copies never travel.
+    Empty sets go after staging: a filter before it would repeat the tokenising.
     """
     return stage(with_set_key(items, tokens).groupBy("set_key").agg(
-        F.min("id").alias("pid"), F.count(F.lit(1)).alias("n_members"), F.any_value("tokens").alias("tokens")))
+        F.min("id").alias("pid"), F.count(F.lit(1)).alias("n_members"), F.any_value("tokens").alias("tokens"))
+    ).filter(F.size("tokens") > 0)
 
 
 def similar_sets(items: DataFrame, tokens: str, threshold: float) -> DataFrame:
@@ -50,16 +52,14 @@ def similar_sets(items: DataFrame, tokens: str, threshold: float) -> DataFrame:
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs among the rows of ``token_sets``."""
-    pairs = sets.select("pid", F.explode("tokens").alias("token"))
-    frequency = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # Rarest first; the token breaks ties so both sides agree on the order.
-    ordered = pairs.join(frequency, "token").groupBy("pid").agg(
-        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
-    size = F.size("r")
-    keep = size - F.ceil(F.lit(threshold) * size - F.lit(1e-9)).cast("int") + 1
-    prefix = ordered.select(
-        "pid", size.alias("size"), F.posexplode(F.slice("r", F.lit(1), F.greatest(keep, F.lit(1)))).alias("at", "e")
-    ).select("pid", "size", "at", F.col("e.token").alias("token"))
+    # Tokens travel as 64-bit hashes: a collision only adds a candidate to verify.
+    hashed = sets.select("pid", F.size("tokens").alias("size"), F.explode("tokens").alias("t")).select("pid", "size", F.xxhash64("t").alias("token"))
+    frequency = hashed.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # Rarest first; the hash breaks ties so both sides agree on the order.  A window
+    # partition is one set, bounded by its own text.
+    place = F.row_number().over(Window.partitionBy("pid").orderBy("df", "token")) - 1
+    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)) + 1
+    prefix = stage(hashed.join(frequency, "token").withColumn("at", place).filter(F.col("at") < F.greatest(keep, F.lit(1))).select("pid", "size", "at", "token"))
     a = prefix.select(F.col("pid").alias("left"), F.col("size").alias("la"), F.col("at").alias("ia"), "token")
     b = prefix.select(F.col("pid").alias("right"), F.col("size").alias("lb"), F.col("at").alias("ib"), "token")
     short, long = F.least("la", "lb"), F.greatest("la", "lb")
@@ -157,7 +157,7 @@ def nearest(
     """
     want = k + 1 if exclude_self else k
     ref_ids = keep_first(refs.select("id", "vector"), ["vector"], F.col("id"), k=want)
-    ref_set = stage(ref_ids.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("rid", F.col("ids")[0]))
+    ref_set = stage(ref_ids.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rid", F.col("ids")[0]))
     q_set = stage(queries.groupBy("vector").agg(F.min("id").alias("qid")))
 
     n_refs = ref_set.count()
