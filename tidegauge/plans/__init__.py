@@ -1,3 +1,5 @@
 """Registered queries: each module binds operators to the given tables."""
 
-from tidegauge.plans import aggregates, audits, evaluation, joins, models, pairwise, scalars, splits, windows  # noqa: F401
+from tidegauge.plans import (  # noqa: F401
+    aggregates, audits, evaluation, joins, models, pairwise, pipeline, scalars, splits, windows,
+)

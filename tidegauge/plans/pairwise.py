@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge import constants as K
-from tidegauge.functions.expressions import clip
+from tidegauge.operators import domain as DM
 from tidegauge.operators import ordered as O
 from tidegauge.operators import pairwise as P
-from tidegauge.operators import rules
 from tidegauge.registry import query
 
 DOC_SQL = r"""doc AS (SELECT doc_id AS id, list_sort(list_distinct(string_split_regex(trim(lower(text)), '\s+'))) AS s, 4e0 + (doc_id % 9) * 5e-1 AS v FROM documents),
@@ -64,15 +63,6 @@ def knn_self(t):
     return out.select("id", F.round("mean_sim", 6).alias("self_similarity"), F.round(1 - F.col("mean_sim"), 6).alias("novelty"))
 
 
-def domain_frame(near, k):
-    """Top-k mean and variance with the top-10 density, normalised by its global mean."""
-    per_id = near.groupBy("id").agg(
-        F.avg(F.when(F.col("rank") <= k, 1 - F.col("distance"))).alias("mean_sim"),
-        F.var_pop(F.when(F.col("rank") <= k, 1 - F.col("distance"))).alias("var_sim"),
-        P.local_density(near, K.DENSITY_NEIGHBOURS).alias("density"))
-    return O.attach_scalars(per_id, per_id.agg(F.avg("density").alias("mean_density")))
-
-
 @query("J10", f"""
 WITH {BIT_SQL}, rk AS (SELECT q, s, row_number() OVER (PARTITION BY q ORDER BY round(1 - s, 9), r) AS rn FROM tan WHERE ql >= 5 AND rl < 5),
 g AS (SELECT q, avg(s) FILTER (WHERE rn <= 5) AS m, var_pop(s) FILTER (WHERE rn <= 5) AS v, avg((s > 0)::INT) FILTER (WHERE rn <= 10) * avg(s) FILTER (WHERE rn <= 10) AS d FROM rk GROUP BY 1),
@@ -81,13 +71,9 @@ SELECT q AS id, round(m, 5) AS nn_similarity, round(v, 5) AS knn_variance, round
  CASE WHEN m < 2e-1 THEN 'out_of_domain' WHEN m >= 4e-1 AND c >= 6e-1 AND v < 5e-2 THEN 'high' WHEN m >= 3e-1 THEN 'medium' ELSE 'low' END AS reliability FROM c""")
 def knn_ad(t):
     near = P.nearest(fingerprints(t, "label >= 5"), fingerprints(t, "label < 5"), K.DENSITY_NEIGHBOURS)
-    d = domain_frame(near, K.NEIGHBOURS)
-    m, v = F.col("mean_sim"), F.col("var_sim")
-    score = F.least(m / K.NEIGHBOUR_SIMILARITY_CUT, F.lit(1.0)) * 0.5 + F.least(F.col("density") / F.greatest("mean_density", F.lit(1e-6)), F.lit(1.0)) * 0.3
-    return d.withColumn("c", clip(score, 0.0, 1.0)).select(
-        "id", F.round(m, 5).alias("nn_similarity"), F.round(v, 5).alias("knn_variance"), F.round("density", 5).alias("local_density"),
-        F.round("c", 5).alias("score"), (m >= K.NEIGHBOUR_SIMILARITY_CUT).alias("in_domain"),
-        rules.similarity_domain(m, F.col("c"), v).alias("reliability"))
+    return DM.reference_domain(near).select(
+        "id", F.round("mean_sim", 5).alias("nn_similarity"), F.round("var_sim", 5).alias("knn_variance"),
+        F.round("density", 5).alias("local_density"), F.round("score", 5).alias("score"), "in_domain", "reliability")
 
 
 @query("J11", f"""
@@ -98,13 +84,7 @@ SELECT q AS id, round(c, 5) AS self_score, m >= 25e-2 AS in_domain, CASE WHEN m
 def knn_loo(t):
     near = P.nearest(fingerprints(t), fingerprints(t, "label < 4"), K.SELF_NEIGHBOURS, exclude_self=True)
     member = t("embeddings").select(F.col("vec_id").alias("id"), (F.col("label") < 4).alias("member"))
-    d = domain_frame(near, K.SELF_NEIGHBOURS).join(member, "id")
-    m, v = F.col("mean_sim"), F.col("var_sim")
-    score = (F.least(m / K.SELF_SIMILARITY_CUT, F.lit(1.0)) * 0.60 + F.least(F.col("density") / F.greatest("mean_density", F.lit(1e-6)), F.lit(1.0)) * 0.25
-             - F.least(v / 0.05, F.lit(1.0)) * 0.15)
-    return d.withColumn("c", clip(score, 0.0, 1.0)).select(
-        "id", F.round("c", 5).alias("self_score"), (m >= K.SELF_SIMILARITY_CUT).alias("in_domain"),
-        rules.self_domain(m, F.col("c"), v, F.col("member")).alias("reliability"))
+    return DM.self_domain(near, member).select("id", F.round("score", 5).alias("self_score"), "in_domain", "reliability")
 
 
 NN_SQL = f"""{BIT_SQL}, rk AS (SELECT q, r, s, row_number() OVER (PARTITION BY q ORDER BY round(1 - s, 9), r) AS rn FROM tan WHERE ql >= 8 AND rl < 7), nn AS (SELECT q, r, s FROM rk WHERE rn = 1)"""
