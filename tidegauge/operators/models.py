@@ -56,7 +56,7 @@ def mutual_information(df: DataFrame, vector: str, label: str) -> DataFrame:
     total = joint.groupBy("feature").agg(F.sum("n").alias("t"))
     cells = joint.join(by_x, ["feature", "x"]).join(by_y, ["feature", label]).join(total, "feature")
     term = F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))
-    return cells.groupBy("feature").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
+    return cells.groupBy("feature").agg(F.round(F.greatest(F.sum(term), F.lit(0.0)), 12).alias("mi"))
 
 
 def top_features(scores: DataFrame, score: str, k: int) -> DataFrame:

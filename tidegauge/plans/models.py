@@ -12,7 +12,7 @@ from tidegauge.operators import splits as SP
 from tidegauge.operators import stats as S
 from tidegauge.operators.ordered import attach_scalars
 from tidegauge.plans.pairwise import vectors
-from tidegauge.plans.standins import pred_sql, predictions, split_rows
+from tidegauge.plans.standins import hash_sql, pred_sql, predictions, split_rows, split_sql
 from tidegauge.registry import query
 
 LONG_SQL = "u AS (SELECT vec_id AS id, label, unnest(generate_series(0, 63))::INT AS feature, unnest(embedding)::DOUBLE AS x FROM embeddings), bits AS (SELECT id, feature, label >= 5 AS y, x > 0 AS b FROM u)"
@@ -67,7 +67,11 @@ def stability_selection(t):
     return scores.orderBy(F.desc("stability"), "feature").limit(20)
 
 
-@query("M10 M09")
+@query("M10 M09", f"""
+WITH {LONG_SQL}, f AS (SELECT unnest(range(0, 5)) AS fold), j AS (SELECT fold, feature, b, y, count(*) AS n FROM bits, f WHERE id % 5 <> fold GROUP BY 1, 2, 3, 4),
+k AS (SELECT *, sum(n) OVER (PARTITION BY fold, feature, b) AS nx, sum(n) OVER (PARTITION BY fold, feature, y) AS ny, sum(n) OVER (PARTITION BY fold, feature) AS t FROM j),
+m AS (SELECT fold, feature, round(greatest(sum(n / t::DOUBLE * ln(n * t / (nx * ny)::DOUBLE)), 0e0), 12) AS mi FROM k GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY mi DESC, feature) AS rn FROM m)
+SELECT feature, count(*) AS n_folds FROM r WHERE rn <= 16 GROUP BY 1 HAVING count(*) >= 3""")
 def consensus_features(t):
     rows = labelled_bits(t).withColumn("fold", (F.col("id") % 5).cast("int"))
     picked = None
@@ -118,14 +122,22 @@ def stacking(t):
         "lift", F.col("stacked_auc") - F.col("base_auc"))
 
 
-@query("M15 X14 A33")
+def _seed_sql(seed):
+    return f"""(WITH {split_sql()}, e AS (SELECT quantile_cont(activity, [0e0, 2e-1, 4e-1, 6e-1, 8e-1, 1e0]) AS e FROM rows),
+q AS (SELECT activity, greatest(len(list_filter(e, lambda x: x < activity)) - 1, 0) AS q, {hash_sql('id', seed)} AS h, id FROM rows, e), r AS (SELECT activity, row_number() OVER (PARTITION BY q ORDER BY h, id) - 1 AS p, count(*) OVER (PARTITION BY q) AS n FROM q),
+s AS (SELECT activity, CASE WHEN p < round_even(n * 15e-2, 0) THEN 'test' WHEN p < round_even(n * 15e-2, 0) + round_even(n * 1e-1, 0) THEN 'val' ELSE 'train' END AS split FROM r)
+SELECT round(abs(100e0 * avg((activity >= 6)::INT) FILTER (WHERE split = 'train') - 100e0 * avg((activity >= 6)::INT) FILTER (WHERE split = 'test')), 1) AS d FROM s)"""
+
+
+@query("M15 X14 A33", f"""
+WITH d AS ({_seed_sql(42)} UNION ALL {_seed_sql(43)} UNION ALL {_seed_sql(44)}) SELECT count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS std, round(min(d), 6) AS min, round(max(d), 6) AS max FROM d""")
 def seed_robustness(t):
     rows = split_rows(t, "id", "activity")
     parts = None
     for seed in (42, 43, 44):
         drift = S.class_drift(SP.random_split(rows, "id", "activity", seed=seed), "split", "activity", 6.0).withColumn("seed", F.lit(seed))
         parts = drift if parts is None else parts.unionByName(drift)
-    return parts.agg(F.count(F.lit(1)).alias("n"), *[f(F.col("drift_pp")).alias(n) for n, f in (
+    return parts.agg(F.count(F.lit(1)).alias("n"), *[F.round(f(F.col("drift_pp")), 6).alias(n) for n, f in (
         ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
 
 
