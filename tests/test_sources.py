@@ -160,3 +160,19 @@ def test_structure_columns_say_what_is_missing(spark):
     except ImportError:
         with pytest.raises(Exception, match="RDKit"):
             add_structure_columns(spark.createDataFrame([("CCO",)], "s string"), "s").collect()
+
+
+def test_edge_columns_are_found_by_name(spark):
+    from tidegauge.operators.joins import id_columns, normalise_edges
+    from tidegauge.plans.curation import named_columns
+
+    assert id_columns(["x", "inchikey_1", "inchikey_2"]) == ("inchikey_1", "inchikey_2")
+    assert id_columns(["left_key_a", "left_key_b", "v"]) == ("left_key_a", "left_key_b")
+    assert id_columns(["u", "v"]) is None
+    edge = spark.createDataFrame([("ABCDEFGHIJKLMN-OPQ", "ZYXWVUTSRQPONM-LKJ", 0.9)], "id_a string, id_b string, similarity double")
+    row = normalise_edges(edge).first()
+    assert (row["src"], row["dst"], row["similarity"]) == ("ABCDEFGHIJKLMN", "ZYXWVUTSRQPONM", 0.9)
+    with pytest.raises(ValueError, match="no id columns"):
+        normalise_edges(spark.range(1).withColumnRenamed("id", "u"))
+    frame = spark.createDataFrame([("a", 1.0)], "assay_date string, activity_class double")
+    assert named_columns(frame) == {"date": ["assay_date"], "label": ["activity_class"]}

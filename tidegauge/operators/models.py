@@ -6,7 +6,6 @@ as aggregations, and only feature-by-feature matrices reach the driver.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -19,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.expressions import clip, first_rule
-from tidegauge.operators.dedup import keep_first
 from tidegauge.operators.ordered import attach_scalars, quantiles
 from tidegauge.operators.stats import _mix, calibration_error, regression_metrics, weighted_auc
 from tidegauge.session import stage
@@ -326,11 +324,3 @@ def root_cause(
         (disagreement > 0.5, "model_instability"),
         ((uncertainty > 1.0) & (density < density_limit), "epistemic_uncertainty"),
         (density > density_limit, "sparse_region")], "model_averaging")
-
-
-def best_per_cell(scores: DataFrame, cell: Sequence[str], score: str, order: str) -> DataFrame:
-    return keep_first(scores, cell, F.col(score), F.col(order))
-
-
-def min_count(n: int, share: float) -> int:
-    return max(1, math.ceil(n * share))

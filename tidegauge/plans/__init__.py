@@ -1,5 +1,5 @@
 """Registered queries: each module binds operators to the given tables."""
 
 from tidegauge.plans import (  # noqa: F401
-    aggregates, audits, evaluation, joins, models, pairwise, pipeline, scalars, splits, windows,
+    aggregates, audits, evaluation, joins, models, pairwise, released, scalars, splits, windows,
 )
