@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import decontaminate
+from tidegauge.llm import decontaminate, simhash, substrings
 
 
 def llm_queries() -> dict:
-    return {"op4_winnowing": decontaminate.op4_winnowing}
+    return {"op4_winnowing": decontaminate.op4_winnowing, "op7_relative_lz": substrings.op7_relative_lz,
+            "op8_simhash": simhash.op8_simhash}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op4_winnowing": decontaminate.OP4_SQL}
+    return {"op4_winnowing": decontaminate.OP4_SQL, "op7_relative_lz": substrings.OP7_SQL}
