@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import decontaminate, simhash, substrings
+from tidegauge.llm import decontaminate, pieces, simhash, substrings, tokens
 
 
 def llm_queries() -> dict:
-    return {"op4_winnowing": decontaminate.op4_winnowing, "op7_relative_lz": substrings.op7_relative_lz,
-            "op8_simhash": simhash.op8_simhash}
+    return {"op2_simple8b": tokens.op2_simple8b, "op4_winnowing": decontaminate.op4_winnowing,
+            "op7_relative_lz": substrings.op7_relative_lz,
+            "op8_simhash": simhash.op8_simhash, "op10_offsets": pieces.op10_offsets}
 
 
 def llm_oracles() -> dict[str, str]:
