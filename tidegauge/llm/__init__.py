@@ -1,11 +1,4 @@
 """Operators for training-data pipelines; nothing outside this package imports it.
 
-``llm_queries`` and ``llm_oracles`` are what the driver entry adds when the package is
-present.
+``queries`` has what the driver entry adds when the package is present.
 """
-
-from __future__ import annotations
-
-from tidegauge.llm.queries import llm_oracles, llm_queries
-
-__all__ = ["llm_oracles", "llm_queries"]

@@ -120,9 +120,10 @@ def _document_candidates(lengths: list[int], table):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> DataFrame:
-    """One row a document: n_words, n_hit, n_items, item_ids (sorted strings).
+    """One row a document: row, doc_id, n_words, n_hit, item_ids (sorted strings).
 
-    ``row`` numbers the rows of ``docs`` as they are scanned; ``doc_id`` is carried along.
+    ``row`` numbers the rows of ``docs`` as they are scanned; ``doc_id``, of any type, is
+    carried along.
     """
     spark = docs.sparkSession
     test = stage(items.select(F.col("item_id").cast("string"), "text").mapInArrow(

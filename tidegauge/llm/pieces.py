@@ -215,7 +215,7 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def _encode(path: str, full: bool):
+def _encode(path: str, full: bool, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = model(path)
         end = np.array([coder.end_id], "<u4").tobytes()
@@ -229,8 +229,9 @@ def _encode(path: str, full: bool):
                     listed = ids.tolist()
                     counts.append(len(listed))
                     decoded.append(coder.library.decode(listed))
-                    if full:
+                    if full or keep_ids:
                         all_ids.append(listed)
+                    if full:
                         all_spans.append(bounds)
                     else:
                         shas.append(hashlib.sha256(" ".join([coder.texts[i] for i in listed]).encode()).hexdigest())
@@ -241,15 +242,17 @@ def _encode(path: str, full: bool):
                 else:
                     rest = [pa.array(shas, pa.string()), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()), pa.array(sums, pa.int64())]
                     names = ["ids_sha256", "decoded_sha256", "spans_crc32"]
+                    if keep_ids:
+                        rest, names = [pa.array(all_ids, pa.list_(pa.int32())), *rest], ["ids", *names]
                 yield pa.record_batch([part.column(0), pa.array(counts, pa.int64()), *rest], names=["doc_id", "n_tokens", *names])
 
     return run
 
 
-def _apply(docs: DataFrame, path: str, full: bool, columns: str) -> DataFrame:
+def _apply(docs: DataFrame, path: str, full: bool, columns: str, ids: bool = False) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _encode(path, full), f"doc_id {id_type}, n_tokens bigint, {columns}")
+        _encode(path, full, ids), f"doc_id {id_type}, n_tokens bigint, {columns}")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -257,9 +260,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return _apply(docs, path, True, "ids array<int>, starts array<bigint>, ends array<bigint>, decoded string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and spans_crc32 of the same values."""
-    return _apply(docs, path, False, "ids_sha256 string, decoded_sha256 string, spans_crc32 bigint")
+def digests(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and spans_crc32 of the same values; ``ids`` adds the ids."""
+    return _apply(docs, path, False, "ids array<int>, " * ids + "ids_sha256 string, decoded_sha256 string, spans_crc32 bigint", ids)
 
 
 def op10_offsets(spark: SparkSession, folder: str) -> DataFrame:

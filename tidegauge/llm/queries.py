@@ -1,14 +1,25 @@
-"""The registered queries of this package and their SQL."""
+"""The registered queries of this package and the pipeline, and their SQL."""
 
 from __future__ import annotations
 
-from tidegauge.llm import decontaminate, language, licenses, pieces, quality, sharding, simhash, substrings, tokens
+import corpus_pipeline
+from tidegauge.llm import decontaminate, language, licenses, pieces, quality, secrets, sharding, simhash, substrings, tokens
 
 
 def llm_queries() -> dict:
-    return {"op1_rare_words": licenses.op1_rare_words, "op2_simple8b": tokens.op2_simple8b, "op4_winnowing": decontaminate.op4_winnowing,
-            "op5_isolation": quality.op5_isolation, "op6_two_pass": sharding.op6_two_pass, "op7_relative_lz": substrings.op7_relative_lz,
-            "op8_simhash": simhash.op8_simhash, "op9_backoff": language.op9_backoff, "op10_offsets": pieces.op10_offsets}
+    return {
+        "op1_rare_words": licenses.op1_rare_words,
+        "op2_simple8b": tokens.op2_simple8b,
+        "op3_forest": secrets.op3_forest,
+        "op4_winnowing": decontaminate.op4_winnowing,
+        "op5_isolation": quality.op5_isolation,
+        "op6_two_pass": sharding.op6_two_pass,
+        "op7_relative_lz": substrings.op7_relative_lz,
+        "op8_simhash": simhash.op8_simhash,
+        "op9_backoff": language.op9_backoff,
+        "op10_offsets": pieces.op10_offsets,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def llm_oracles() -> dict[str, str]:

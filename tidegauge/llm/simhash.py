@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.bytewords import NOT_SPACE, find_words, slices, spaced
+from tidegauge.llm.bytewords import ALNUM, NOT_SPACE, find_words, slices, spaced
 from tidegauge.llm.components import components
 from tidegauge.session import stage
 
@@ -46,8 +46,8 @@ DENSE = 48
 TABLE = 1 << 16
 
 
-def fingerprint_rows(texts: pa.Array, shingle: int) -> np.ndarray:
-    words = find_words(texts, NOT_SPACE, lower=True)
+def fingerprint_rows(texts: pa.Array, shingle: int, letters: bool = False) -> np.ndarray:
+    words = find_words(texts, ALNUM if letters else NOT_SPACE, lower=True)
     joined, start, end = spaced(words)
     out = np.zeros(len(texts), np.uint64)
     counts = words.counts
@@ -68,20 +68,21 @@ def fingerprint_rows(texts: pa.Array, shingle: int) -> np.ndarray:
     return out
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, letters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                prints = fingerprint_rows(part.column(1), shingle)
+                prints = fingerprint_rows(part.column(1), shingle, letters)
                 yield pa.record_batch([part.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, letters: bool = False) -> DataFrame:
+    """doc_id and fp; with ``letters`` words are runs of letters and digits, so punctuation and case do not count."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _fingerprints(shingle), f"doc_id {id_type}, fp bigint")
+        _fingerprints(shingle, letters), f"doc_id {id_type}, fp bigint")
 
 
 def _bit_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS, dense: int
     value = lambda g: " | ".join(f"shiftleft(shiftright(fp, {b}) & 1L, {at})" for at, b in enumerate(g))
     index = nodes.select("fp", F.posexplode(F.expr("array(" + ", ".join(value(g) for g in groups) + ")")).alias("part", "value")).select(
         "fp", F.col("part").cast("tinyint").alias("part"), "value")
-    counts = index.groupBy("part", "value").agg(F.count("*").alias("n"))
+    counts = stage(index.groupBy("part", "value").agg(F.count("*").alias("n")))
     tables = np.zeros((parts, TABLE))
     # the slot is the top 16 bits of a 64-bit product, taken without overflow errors
     frame = counts.mapInArrow(_table_counts, "part tinyint, slot int, n bigint").groupBy("part", "slot").agg(F.sum("n").alias("n")).toArrow()
@@ -238,7 +239,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS, dense: int
     crowded = counts.where(F.col("n") > dense).select("part", "value")
     inside = index.join(crowded, ["part", "value"], "left_semi").select("fp").unionByName(met.where("crowded").select("fp")).distinct()
     keys = stage(inside.mapInArrow(_neighbours(radius), "fp bigint, key bigint, depth tinyint"))
-    stars = keys.where(F.col("depth") <= radius // 2).groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("n"))
+    stars = stage(keys.where(F.col("depth") <= radius // 2).groupBy("key").agg(F.min("fp").alias("b")))
     around = keys.join(stars, "key").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return near.unionByName(around)
 
@@ -249,14 +250,15 @@ def _table_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             [batch.column(0), pa.array(_slot(batch.column(1).to_numpy()).astype(np.int32)), batch.column(2)], names=["part", "slot", "n"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS, dense: int = DENSE) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS, dense: int = DENSE, letters: bool = False) -> DataFrame:
     """One row a document: doc_id, fp, component_id (smallest id reachable over links)."""
-    prints = stage(fingerprints(docs, shingle))
+    prints = stage(fingerprints(docs, shingle, letters))
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = components(links(nodes, radius, parts, dense)).withColumnsRenamed({"node": "fp"})
     rooted = stage(nodes.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.select("fp", "root").join(named, "root"), "fp").select("doc_id", "fp", "component_id")
+    named = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    classes = stage(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"))
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
