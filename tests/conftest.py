@@ -23,7 +23,7 @@ def spark(tmp_path_factory):
 
 @pytest.fixture
 def tiny_slices(monkeypatch):
-    """Cut value axes after a handful of rows, so every sliced path really runs."""
+    """Deal into many ranges, so that keys and ties really are cut."""
     from tidegauge.operators import ordered
 
-    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 7)
+    monkeypatch.setattr(ordered, "PARTS", 7)

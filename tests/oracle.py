@@ -65,7 +65,7 @@ if __name__ == "__main__":
 
     from tidegauge.operators import ordered
 
-    ordered.ROWS_PER_SLICE = int(os.environ.get("SLICE", ordered.ROWS_PER_SLICE))
+    ordered.PARTS = int(os.environ.get("PARTS", "0")) or None
     sf = os.environ.get("SF", "0.01")
     spark = build_session("local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",

@@ -55,11 +55,15 @@ def test_one_giant_tie_is_still_ordered(spark, tiny_slices):
     assert got["pos"].tolist() == list(range(200))
 
 
-def test_many_slices_use_the_two_step_lookup(spark):
-    edges = [float(i) for i in range(0, 500, 3)]
-    frame = spark.range(0, 520).select((F.col("id") * 1.0).alias("x"))
-    got = frame.select("x", O.slice_of("x", edges).alias("s")).toPandas()
-    assert (got["s"] == np.searchsorted(edges, got["x"], side="left")).all()
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_string_ids_and_any_number_of_ranges(spark, monkeypatch, parts):
+    monkeypatch.setattr(O, "PARTS", parts)
+    pdf = skewed()
+    pdf["id"] = "IK" + pdf["id"].astype(str)
+    got = O.positions(spark.createDataFrame(pdf), ["k"], "v", "id").toPandas().set_index("id")["pos"].sort_index()
+    ordered = pdf.sort_values(["k", "v", "id"])
+    want = ordered.groupby("k").cumcount().set_axis(ordered["id"]).sort_index()
+    assert (got == want).all()
 
 
 def test_average_ranks(spark, tiny_slices):

@@ -2,15 +2,14 @@
 
 A window over ``partitionBy(key)`` sorts a key's rows in one task, and the
 ``percentile`` aggregate keeps a key's distinct values in one buffer.  Both fail
-when one key owns a third of the table.  Here the value axis is cut at global
-approximate quantiles, so every (key, slice) holds a bounded share of the rows.
-Sums per slice are tiny and give each slice its starting offset; the ordered work
-happens inside slices.  The cut points only steer work, so results stay exact.
+when one key owns a third of the table.  Here rows are dealt into ranges of
+(key, value), so a large key is cut like everything else, whatever the type of the
+value.  Ordered work happens inside (key, range); the sums of each range, a few rows
+a task, give it its starting offset.  The plan is the same for every size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,101 +17,43 @@ from pyspark.sql import functions as F
 
 from tidegauge.session import stage
 
-ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 4096
-COUNT_FIRST_BYTES = 1 << 28
-_FLAT_LOOKUP = 64
+#: ranges to deal into; by default Spark's number of shuffle partitions, small ones joined
+PARTS: int | None = None
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate; it only decides whether counting first is worth it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _ranged(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` in ranges of ``columns``, numbered in ``_part``.
 
+    Written once: a range's number must be the same for all that read it.
+    """
+    by = [F.col(c) for c in columns]
+    dealt = df.repartitionByRange(PARTS, *by) if PARTS else df.repartitionByRange(*by)
+    return stage(dealt.withColumn("_part", F.spark_partition_id()))
 
-def slice_edges(df: DataFrame, value: str, rows_per_slice: int | None = None) -> list[float]:
-    """Cut points for ``value``: at most MAX_SLICES numbers reach the driver.
 
-    They are fetched once and become literals, so every branch of a plan and every
-    retried task sees the same slices.
-    """
-    per_slice = rows_per_slice or ROWS_PER_SLICE
-    if _estimated_bytes(df) < COUNT_FIRST_BYTES and df.count() <= per_slice:
-        return []
-    grid = ", ".join(f"{i / MAX_SLICES!r}D" for i in range(1, MAX_SLICES))
-    row = df.select(F.col(value).cast("double").alias("v")).agg(
-        F.count("v").alias("n"), F.expr(f"percentile_approx(v, array({grid}), 10000)").alias("edges")).first()
-    if row is None or not row["n"]:
-        return []
-    wanted = min(MAX_SLICES, max(1, -(-row["n"] // per_slice)))
-    if wanted <= 1:
-        return []
-    step = max(1, MAX_SLICES // wanted)
-    return sorted({e for e in row["edges"][step - 1 :: step] if math.isfinite(e)})
-
-
-def slice_of(value: str, edges: Sequence[float]) -> Column:
-    """Index of the slice holding ``value``; equal values always share a slice.
-
-    Many slices are found in two steps: the block of edges, then the place in it.
-    """
-    if not edges:
-        return F.lit(0)
-    literal = lambda es: f"array({', '.join(f'{float(e)!r}D' for e in es)})"
-    below = lambda bounds: f"size(filter({bounds}, e -> e < cast(`{value}` AS DOUBLE)))"
-    if len(edges) <= _FLAT_LOOKUP:
-        return F.expr(below(literal(edges)))
-    width = int(len(edges) ** 0.5) + 1
-    blocks = [edges[i : i + width] for i in range(0, len(edges), width)]
-    fine = F.expr(f"array({', '.join(literal(b) for b in blocks)})")
-    block = F.expr(below(literal(edges[width - 1 :: width])))
-    inside = F.size(F.filter(F.try_element_at(fine, block + 1), lambda e: e < F.col(value).cast("double")))
-    return block * width + F.greatest(F.coalesce(inside, F.lit(0)), F.lit(0))
-
-
-def running_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    measures: Sequence[str],
-    edges: Sequence[float] | None = None,
-) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str]) -> DataFrame:
     """Add ``cum_<m>`` (inclusive) and ``all_<m>`` per key along ascending ``order``.
 
-    Rows must be unique on (keys, order); aggregate first.
+    Rows must be unique on (keys, order), which may be of any orderable type; aggregate
+    first.
     """
     keys = list(keys)
-    edges = slice_edges(df, order) if edges is None else edges
-    if not edges:
-        return _running_totals_unsliced(df, keys, order, measures)
-    sliced = df.withColumn("_slice", slice_of(order, edges))
-    per_slice = sliced.groupBy(*keys, "_slice").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
-    ahead = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = _ranged(df, [*keys, order])
+    per_part = ranged.groupBy(*keys, "_part").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
+    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    offsets = per_slice.select(
+    offsets = per_part.select(
         *keys,
-        "_slice",
+        "_part",
         *[F.coalesce(F.sum(f"_s_{m}").over(ahead), F.lit(0)).alias(f"_o_{m}") for m in measures],
         *[F.sum(f"_s_{m}").over(whole).alias(f"all_{m}") for m in measures],
     )
-    inside = (
-        Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    local = sliced.select("*", *[F.sum(m).over(inside).alias(f"_l_{m}") for m in measures])
-    joined = local.join(offsets, [*keys, "_slice"])
+    inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.select("*", *[F.sum(m).over(inside).alias(f"_l_{m}") for m in measures])
+    joined = local.join(offsets, [*keys, "_part"])
     for m in measures:
         joined = joined.withColumn(f"cum_{m}", F.col(f"_o_{m}") + F.col(f"_l_{m}"))
-    return joined.drop("_slice", *[f"_o_{m}" for m in measures], *[f"_l_{m}" for m in measures])
-
-
-def _running_totals_unsliced(df, keys, order, measures) -> DataFrame:
-    """Whole input counted at one slice or less: a plain window is already bounded."""
-    run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    return df.select(
-        "*",
-        *[F.sum(m).over(run).alias(f"cum_{m}") for m in measures],
-        *[F.sum(m).over(whole).alias(f"all_{m}") for m in measures],
-    )
+    return joined.drop("_part", *[f"_o_{m}" for m in measures], *[f"_l_{m}" for m in measures])
 
 
 def value_counts(
@@ -133,7 +74,7 @@ def ladder(
 ) -> DataFrame:
     """``value_counts`` with running and total counts and weights per key."""
     counts = value_counts(df, keys, value, weight)
-    return running_totals(counts, keys, "v", ["n", "w"], slice_edges(df, value))
+    return running_totals(counts, keys, "v", ["n", "w"])
 
 
 def at_quantile(q: float) -> Column:
@@ -166,9 +107,7 @@ def mad_of_ladder(steps: DataFrame, keys: Sequence[str], factor: float, out: str
     centre = steps.groupBy(*keys).agg(at_quantile(0.5).alias("_centre"))
     counted = join_back(steps.select(*keys, "v", "n"), centre, keys)
     away = counted.groupBy(*keys, F.abs(F.col("v") - F.col("_centre")).alias("v")).agg(F.sum("n").alias("n"))
-    # Deviations are no more than the counted values they come from.
-    edges = [] if steps.count() <= ROWS_PER_SLICE else None
-    run = running_totals(away, keys, "v", ["n"], edges)
+    run = running_totals(away, keys, "v", ["n"])
     return run.groupBy(*keys).agg(
         F.when(F.max("all_n") < 2, F.lit(0.0)).otherwise(F.lit(factor) * at_quantile(0.5)).alias(out))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.expressions import first_rule
-from tidegauge.operators.ordered import attach_scalars, average_ranks, running_totals, slice_edges
+from tidegauge.operators.ordered import attach_scalars, average_ranks, running_totals
 
 
 def two_sample_ks(df: DataFrame, keys: Sequence[str], value: str, in_first: Column) -> DataFrame:
@@ -18,7 +18,7 @@ def two_sample_ks(df: DataFrame, keys: Sequence[str], value: str, in_first: Colu
     held = df.filter(F.col(value).isNotNull())
     steps = held.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(
         F.sum(in_first.cast("long")).alias("a"), F.sum((~in_first).cast("long")).alias("b"))
-    run = running_totals(steps, keys, "v", ["a", "b"], slice_edges(df, value))
+    run = running_totals(steps, keys, "v", ["a", "b"])
     gap = F.abs(F.col("cum_a") / F.col("all_a") - F.col("cum_b") / F.col("all_b"))
     per_key = run.groupBy(*keys).agg(
         F.max(gap).alias("ks_stat"), F.max("all_a").alias("n_a"), F.max("all_b").alias("n_b"))
@@ -97,7 +97,7 @@ def roc_steps(df: DataFrame, keys: Sequence[str], y: str, p: str, w: str) -> Dat
     steps = df.groupBy(*keys, F.col(p).cast("double").alias("v")).agg(
         F.sum(F.when(F.col(y) == 1, F.col(w)).otherwise(0.0)).alias("pos"),
         F.sum(F.when(F.col(y) == 1, 0.0).otherwise(F.col(w))).alias("neg"))
-    return running_totals(steps, keys, "v", ["pos", "neg"], slice_edges(df, p))
+    return running_totals(steps, keys, "v", ["pos", "neg"])
 
 
 def weighted_auc(df: DataFrame, keys: Sequence[str], y: str, p: str, w: str) -> DataFrame:

@@ -109,7 +109,7 @@ def pred_sql(*names: str) -> str:
 
 # Rows to split: one giant group, groups of growing size, and single-row groups.
 SPLIT = {
-    "id": "p_partkey",
+    "id": "concat('IK', p_partkey)",
     "scaffold": (
         "CASE WHEN p_partkey % 3 = 0 THEN 'giant' "
         "WHEN p_partkey % 3 = 1 THEN concat('series-', CAST(CAST(floor(sqrt(p_partkey)) AS INT) AS VARCHAR(9))) "
