@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tidegauge.sources import readers as R
 from tidegauge.sources import writers as W
-from tidegauge.sources.molecules import add_structure_columns
 from tidegauge.sources.schema import MEASUREMENT
 
 TARGETS = R.Targets("T4", "ACC4", {"ACC1": "T1", "ACC4": "T4"}, {"CH1": "T1"}, ("T1", "T4"))
@@ -148,20 +147,10 @@ def test_sinks(spark, tmp_path):
     W.freeze(spark, f"{tmp_path}/frozen", {"seed": 2}, force=True)
     W.write_contract(frame, {"id": "bigint", "absent": "double"}, f"{tmp_path}/contract", "id")
     assert spark.read.parquet(f"{tmp_path}/contract").columns == ["id", "absent"]
-    text = W.render_table(spark.createDataFrame([("a", None)], "k string, v double"))
+    text = W.render_table(spark.createDataFrame([("a", None)], "k string, v double"), 10)
     assert "--" in text["markdown"] and "tabular" in text["latex"]
 
 
-def test_structure_columns_say_what_is_missing(spark):
-    pytest.importorskip("pandas")
-    try:
-        import rdkit  # noqa: F401
-        pytest.skip("toolkit present")
-    except ImportError:
-        with pytest.raises(Exception, match="RDKit"):
-            add_structure_columns(spark.createDataFrame([("CCO",)], "s string"), "s").collect()
-
-
 def test_edge_columns_are_found_by_name(spark):
     from tidegauge.operators.joins import id_columns, normalise_edges
     from tidegauge.plans.curation import named_columns

@@ -119,3 +119,18 @@ def test_root_cause_order(spark):
         M.root_cause(F.lit(0.1), F.lit(True), F.lit(1.0), F.lit(0.5), F.lit(2.0), F.lit(0.9), F.lit(False)).alias("b"),
         M.root_cause(F.lit(0.1), F.lit(False), F.lit(0.1), F.lit(0.5), F.lit(0.0), F.lit(0.1), F.lit(False)).alias("c")).first()
     assert tuple(row) == ("resolved", "feature_collision", "model_averaging")
+
+
+def test_bootstrap_auc_is_the_weighted_auc_of_its_draws(spark):
+    rng = np.random.default_rng(5)
+    n = 700
+    pdf = pd.DataFrame({"id": np.arange(n), "y": rng.integers(0, 2, n), "p": np.round(rng.random(n), 1), "w": rng.random(n) + 0.1})
+    frame = spark.createDataFrame(pdf).repartition(5)
+    got = S.bootstrap_auc(frame, "id", "y", "p", "w", 40, 9).toPandas().set_index("replicate")["roc_auc"]
+    weights = S.poisson_draws(pdf["id"].to_numpy(), 40, 9) * pdf["w"].to_numpy()[:, None]
+    pos, neg = pdf["y"].to_numpy() == 1, pdf["y"].to_numpy() == 0
+    p = pdf["p"].to_numpy()
+    above = (p[pos][:, None] > p[neg][None, :]) + 0.5 * (p[pos][:, None] == p[neg][None, :])
+    for k in range(40):
+        a, b = weights[pos, k], weights[neg, k]
+        assert got[k] == pytest.approx(a @ above @ b / (a.sum() * b.sum()))

@@ -87,14 +87,12 @@ NEIGHBOUR_SIMILARITY_CUT = 0.35
 DENSITY_NEIGHBOURS = 10
 SELF_NEIGHBOURS = 10
 SELF_SIMILARITY_CUT = 0.25
-SELF_REFERENCE_ROWS = 5000
 
 # Stereo ranking.
 STEREO_TIER = {
     "defined": 4, "achiral": 4, "partial_undefined": 2, "fully_undefined": 1, "unknown": 0,
 }
 STEREO_DEDUP_RANK = {"defined": 0, "achiral": 1, "undefined": 2}
-STEREO_PENALTY_WEIGHT = 0.60
 CONSENSUS_BONUS = 0.15
 CONSENSUS_MIN_SOURCES = 2
 
@@ -102,7 +100,6 @@ CONSENSUS_MIN_SOURCES = 2
 UNCERTAINTY_WEIGHTS = {"std": 0.35, "assay": 0.25, "source": 0.15, "unit": 0.15, "context": 0.10}
 
 # Splits.
-DRIFT_LIMIT_PP = 20.0
 MIN_VAL_FRACTION = 0.08
 CLUSTER_CUTOFFS = [0.40, 0.50, 0.55, 0.60, 0.65, 0.35, 0.30, 0.25]
 SPLITS_EXPECTED_TO_MATCH = ["random"]
@@ -111,3 +108,8 @@ SPLITS_MAY_DIFFER = ["lead_opt", "confirmed", "cliff_aware"]
 
 # Qualifiers.
 QUALIFIERS = ["=", ">", "<", ">=", "<="]
+
+# Grids of the linear models.
+NET_PENALTIES = [1e-4, 1e-3, 1e-2, 1e-1, 1.0]
+NET_INVERSES = [0.01, 0.1, 1.0, 10.0, 100.0]
+NET_MIXES = [0.1, 0.5, 0.9]

@@ -65,10 +65,6 @@ def first_existing(df: DataFrame, names: Sequence[str], default=None) -> Column:
     return F.coalesce(*present, F.lit(default)) if present else F.lit(default)
 
 
-def column_or(df: DataFrame, name: str, default) -> Column:
-    return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
-
-
 def safe_double(text: Column, default: float | None = None) -> Column:
     """Tolerant number: unparsable or non-finite text becomes ``default``."""
     number = text.try_cast("double")

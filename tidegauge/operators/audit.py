@@ -20,12 +20,6 @@ def target_report(df: DataFrame, target: str) -> DataFrame:
         F.round(minority, 6).alias("minority"), (minority < 0.05).alias("imbalanced"))
 
 
-def require_target(df: DataFrame, target: str, id_col: str) -> DataFrame:
-    """Pass rows through; fail the job with the offending id when a target is missing."""
-    held = F.assert_true(F.col(target).isNotNull(), F.concat(F.lit(f"{target} missing for id "), F.col(id_col).cast("string")))
-    return df.filter(held.isNull())
-
-
 def findings(df: DataFrame, checks: Sequence[tuple[str, str, Column, str, int]]) -> DataFrame:
     """One pass over ``df``: each check counts offending rows.
 
@@ -88,12 +82,6 @@ def frame_hash(df: DataFrame) -> DataFrame:
         F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("hash_sum"))
 
 
-def assert_no_overlap(left: DataFrame, right: DataFrame, key: str, what: str) -> None:
-    shared = overlap(left, right, key).first()["n_shared"]
-    if shared:
-        raise RuntimeError(f"{what}: {shared} keys on both sides")
-
-
 def stage_log(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
     """Rows in, rows out and dropped for a chain of filters, from one pass."""
     held = F.lit(True)

@@ -87,12 +87,6 @@ def conflicting_pairs(left: DataFrame, right: DataFrame, key: str, value: str) -
         key, F.col("_a").alias("left_value"), F.col("_b").alias("right_value"))
 
 
-def require_consistent(left: DataFrame, right: DataFrame, key: str, value: str) -> None:
-    bad = conflicting_pairs(left, right, key, value).take(5)
-    if bad:
-        raise RuntimeError(f"{value} differs for keys {[r[key] for r in bad]}")
-
-
 def straddle_counts(edges: DataFrame, members: DataFrame, src: str, dst: str, id_col: str) -> DataFrame:
     """One row: edges inside train, inside test, across, and touching either."""
     side = members.filter(F.col("split").isin("train", "test")).groupBy(id_col).agg(
@@ -168,9 +162,3 @@ def normalise_edges(edges: DataFrame, id_length: int = 14, rename: Mapping[str,
     cut = lambda c: F.substring(F.col(c).cast("string"), 1, id_length)
     rest = [c for c in edges.columns if c not in found]
     return edges.select(cut(found[0]).alias("src"), cut(found[1]).alias("dst"), *rest).withColumnsRenamed(dict(rename or {}))
-
-
-def late_carry(left: DataFrame, right: DataFrame, key: str, names: Sequence[str], order: str) -> DataFrame:
-    """Carry columns over from the first right row of each key."""
-    first = keep_first(right, [key], F.col(order)).select(key, *names)
-    return left.join(first, key, "left")

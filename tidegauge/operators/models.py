@@ -7,6 +7,7 @@ as aggregations, and only feature-by-feature matrices reach the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.expressions import clip, first_rule
 from tidegauge.operators.ordered import attach_scalars, quantiles
 from tidegauge.operators.stats import _mix, calibration_error, regression_metrics, weighted_auc
-from tidegauge.session import stage
+from tidegauge.session import new_folder, stage
 
 
 # ---------------------------------------------------------------- feature filters
@@ -94,14 +95,10 @@ def inflation_prune(matrix: np.ndarray, limit: float = 10.0, candidates: Sequenc
     return left
 
 
-def pick_features(df: DataFrame, vector: str, kept: Sequence[int]) -> DataFrame:
-    index = F.array(*[F.lit(int(i) + 1) for i in kept])
-    return df.withColumn(vector, F.transform(index, lambda i: F.element_at(F.col(vector), i)))
-
-
-def family_features(dictionary: DataFrame, families: Sequence[str]) -> list[int]:
-    """Indices of a variant's features: the dictionary is one line per feature."""
-    return [r["index"] for r in dictionary.filter(F.col("family").isin(list(families))).orderBy("index").collect()]
+def project_family(df: DataFrame, vector: str, dictionary: DataFrame, families: Sequence[str]) -> DataFrame:
+    """``vector`` cut to the features of some families; ``dictionary`` is one line per feature (index, family)."""
+    kept = dictionary.filter(F.col("family").isin(list(families))).agg(F.sort_array(F.collect_list("index")).alias("_kept"))
+    return attach_scalars(df, kept).withColumn(vector, F.transform("_kept", lambda i: F.get(F.col(vector), i))).drop("_kept")
 
 
 def vocabulary(df: DataFrame, tokens: str, size: int) -> DataFrame:
@@ -213,7 +210,7 @@ def _prediction(model, rows: DataFrame, probability: bool) -> DataFrame:
 
 
 def grid_search(
-    train: DataFrame, grid: Sequence[tuple[str, dict]], make: Callable[[dict], object], probability: bool = False
+    train: DataFrame, grid: Sequence[tuple[str, dict]], make: Callable[[dict], object], probability: bool = False, parallel: int = 8
 ) -> tuple[DataFrame, dict, DataFrame]:
     """Cross-validated grid over a stored ``fold`` column: scores, best setting, OOF rows.
 
@@ -222,16 +219,18 @@ def grid_search(
     """
     train = stage(train)
     folds = sorted(r["fold"] for r in train.select("fold").distinct().collect())
-    parts = []
-    for index, (name, setting) in enumerate(grid):
-        for fold in folds:
-            model = make(setting).fit(train.filter(F.col("fold") != fold))
-            held = _prediction(model, train.filter(F.col("fold") == fold), probability)
-            parts.append(held.withColumns({"config": F.lit(name), "grid_order": F.lit(index)}))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    rows = stage(rows)
+    cells = [(index, fold) for index in range(len(grid)) for fold in folds]
+    path = new_folder(train.sparkSession)
+
+    def fit(cell: tuple[int, int]) -> None:
+        index, fold = cell
+        model = make(grid[index][1]).fit(train.filter(F.col("fold") != fold))
+        _prediction(model, train.filter(F.col("fold") == fold), probability).drop("fold").write.parquet(f"{path}/grid_order={index}/fold={fold}")
+
+    with ThreadPoolExecutor(parallel) as pool:  # fits are small jobs of their own; Spark runs several at once
+        list(pool.map(fit, cells))
+    names = F.array(*[F.lit(name) for name, _ in grid])
+    rows = train.sparkSession.read.parquet(path).withColumn("config", F.element_at(names, F.col("grid_order") + 1))
     if probability:
         per_fold = weighted_auc(rows, ["config", "grid_order", "fold"], "y", "p", "w").withColumn("score", -F.col("roc_auc"))
     else:

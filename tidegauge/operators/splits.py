@@ -373,10 +373,6 @@ def adaptive_similarity_split(items: DataFrame, tokens: str, cutoffs: Sequence[f
     return best[1], {**best[2], "tried": tried, "degenerate": True}
 
 
-def subset_sizes(assigned: DataFrame) -> DataFrame:
-    return assigned.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-
-
 def with_folds(assigned: DataFrame, folds: int = 5) -> DataFrame:
     """One (fold, row) line per fold with ``cv_split``: the fold's own rows are val."""
     lines = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("cv_fold")

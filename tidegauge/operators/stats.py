@@ -6,7 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.expressions import first_rule
@@ -28,20 +29,6 @@ def two_sample_ks(df: DataFrame, keys: Sequence[str], value: str, in_first: Colu
     return per_key.withColumn("ks_p", p)
 
 
-def ks_note(split: Column, stat: Column, p: Column) -> Column:
-    """Reading of a shift by what the split type is meant to do."""
-    return first_rule([
-        ((split == "random") & (p < 0.05), "unexpected distribution shift"),
-        (split == "random", "distributions match (expected)"),
-        (split.isin("scaffold", "similarity") & (p < 0.05), "distributions differ (expected)"),
-        (split.isin("scaffold", "similarity"), "unexpected distribution similarity"),
-        (split.isin("confirmed", "lead_opt", "cliff_aware") & (stat < 0.15), "mild distribution shift (acceptable)"),
-        (split == "confirmed", "elevated shift (review confirmed-set scaffold allocation)"),
-        (split.isin("lead_opt", "cliff_aware") & (stat < 0.25), "moderate shift (review)"),
-        (split.isin("lead_opt", "cliff_aware"), "strong shift (verify stratification)"),
-        (p < 0.05, "distributions differ")], "distributions match")
-
-
 def cohens_d(df: DataFrame, keys: Sequence[str], value: str, in_first: Column) -> DataFrame:
     a, b = F.when(in_first, F.col(value)), F.when(~in_first, F.col(value))
     moments = df.groupBy(*keys).agg(
@@ -231,20 +218,61 @@ def percentile_interval(draws: DataFrame, metrics: Sequence[str]) -> DataFrame:
         F.percentile("value", F.lit(0.975)).alias("high"), F.count("value").alias("n"))
 
 
-def bootstrap_auc(df: DataFrame, id_col: str, y: str, p: str, w: str, replicates: int, seed: int) -> DataFrame:
-    """ROC-AUC per replicate: Poisson weights explode rows, ladders do the ranking."""
+def _pair_sums(id_col: str, y: str, p: str, w: str, replicates: int, seed: int, rows: int = 2048):
+    """Rows of one range of scores, ascending, to a line of sums per replicate.
+
+    ``pairs`` is the weight of (positive, negative) pairs inside the range in which the
+    positive is above, ties half.  A tie that spans two batches is carried over.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        pos, neg, pairs = (np.zeros(replicates) for _ in range(3))
+        held: tuple[float, np.ndarray, np.ndarray] | None = None
+
+        def close(a: np.ndarray, b: np.ndarray) -> None:
+            """Adds score groups (rows of ``a`` and ``b``) above all before them."""
+            nonlocal pos, neg, pairs
+            below = neg + np.cumsum(b, axis=0) - b
+            pairs = pairs + (a * (below + b / 2)).sum(axis=0)
+            pos, neg = pos + a.sum(axis=0), neg + b.sum(axis=0)
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts = poisson_draws(pdf[id_col].to_numpy(), replicates, seed)
-            row, rep = np.nonzero(counts)
-            yield pd.DataFrame({
-                "replicate": rep.astype(np.int32), y: pdf[y].to_numpy()[row], p: pdf[p].to_numpy()[row],
-                w: pdf[w].to_numpy(float)[row] * counts[row, rep]})
-
-    drawn = df.select(id_col, F.col(y).cast("int").alias(y), p, F.col(w).cast("double").alias(w)).mapInPandas(
-        draw, f"replicate int, {y} int, {p} double, {w} double")
-    return weighted_auc(drawn, ["replicate"], y, p, w)
+            for low in range(0, len(pdf), rows):
+                cut = pdf.iloc[low : low + rows]
+                drawn = poisson_draws(cut[id_col].to_numpy(), replicates, seed) * cut[w].to_numpy(float)[:, None]
+                hit = (cut[y].to_numpy() == 1)[:, None]
+                score = cut[p].to_numpy()
+                first = np.concatenate([[0], np.flatnonzero(np.diff(score)) + 1])
+                a, b = (np.add.reduceat(drawn * side, first, axis=0) for side in (hit, ~hit))
+                if held is not None and held[0] == score[0]:
+                    a[0] += held[1]
+                    b[0] += held[2]
+                elif held is not None:
+                    close(held[1][None], held[2][None])
+                close(a[:-1], b[:-1])
+                held = (score[-1], a[-1], b[-1])
+        if held is not None:
+            close(held[1][None], held[2][None])
+            yield pd.DataFrame({"part": part, "replicate": np.arange(replicates, dtype=np.int32), "pos": pos, "neg": neg, "pairs": pairs})
+
+    return run
+
+
+def bootstrap_auc(df: DataFrame, id_col: str, y: str, p: str, w: str, replicates: int, seed: int) -> DataFrame:
+    """ROC-AUC per bootstrap replicate; ``id_col`` is numeric.
+
+    Rows are dealt into ranges of the score and draw their own Poisson counts there, so no
+    row is repeated: a range emits one line per replicate, and ranges add up in order.
+    """
+    held = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).select(
+        F.col(id_col).cast("long").alias(id_col), F.col(y).cast("int").alias(y), F.col(p).cast("double").alias(p), F.col(w).cast("double").alias(w))
+    parts = held.repartitionByRange(p).sortWithinPartitions(p).mapInPandas(
+        _pair_sums(id_col, y, p, w, replicates, seed), "part int, replicate int, pos double, neg double, pairs double")
+    below = Window.partitionBy("replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    lines = parts.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    return lines.groupBy("replicate").agg(
+        (F.sum(F.col("pairs") + F.col("pos") * F.col("below")) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("roc_auc"))
 
 
 def class_drift(df: DataFrame, split: str, value: str, threshold: float) -> DataFrame:

@@ -176,12 +176,12 @@ def scaffold_decay(t):
 
 
 @query("A16 A17", """
-WITH s AS (SELECT p_brand, p_size % 7 AS b, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2), g AS (SELECT p_brand || '-' || b AS k, n FROM s),
+WITH s AS (SELECT p_brand, p_size % 7 AS b, count(*) AS n FROM part GROUP BY 1, 2), g AS (SELECT p_brand || '-' || b AS k, n FROM s),
 top AS (SELECT list(n ORDER BY n DESC, k) AS l FROM g)
 SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_groups, count(*) FILTER (WHERE n = 1) AS n_singletons, round(100e0 * count(*) FILTER (WHERE n = 1) / count(*), 1) AS pct_singletons,
  max(n) AS largest, any_value(l[1] + l[2]) AS top2_rows, round(100e0 * any_value(l[1] + l[2]) / sum(n), 1) AS top2_pct, any_value(array_to_string(l[1:5], ',')) AS top5_sizes FROM g, top""")
 def scaffold_stats(t):
-    part = t("part").filter("p_partkey % 3 = 0").withColumn("k", F.concat_ws("-", "p_brand", (F.col("p_size") % 7).cast("string")))
+    part = t("part").withColumn("k", F.concat_ws("-", "p_brand", (F.col("p_size") % 7).cast("string")))
     return A.group_health(part, "k")
 
 
@@ -302,20 +302,20 @@ def scaffold_label_variance(t):
         F.round(F.coalesce(F.var_samp("activity"), F.lit(0.0)), 6).alias("label_variance"))
 
 
-PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+PROFILED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query("A44", " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, count(*) - count({c}) AS missing, min({c}) AS min, max({c}) AS max FROM lineitem" for c in PROFILED))
+    f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, count(*) - count({c}) AS missing, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM lineitem" for c in PROFILED))
 def column_profile(t):
     line = t("lineitem").select(*PROFILED)
     aggs = [F.struct(F.lit(c).alias("feature"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std"),
-                     F.count_if(F.col(c).isNull()).alias("missing"), F.min(c).alias("min"), F.max(c).alias("max")) for c in PROFILED]
+                     F.count_if(F.col(c).isNull()).alias("missing"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")) for c in PROFILED]
     return line.agg(*[a.alias(f"s{i}") for i, a in enumerate(aggs)]).select(
         F.explode(F.array(*[F.col(f"s{i}") for i in range(len(aggs))])).alias("s")).select("s.*")
 
 
-_PROFILE_COLS = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+_PROFILE_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
 @query("A45 D16", " UNION ALL ".join(
@@ -326,10 +326,10 @@ def profile(t):
 
 
 @query("A46", """
-WITH h AS (SELECT ('0x' || substr(md5(concat_ws(chr(1), CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), o_orderstatus)), 1, 13))::BIGINT AS h FROM orders)
+WITH h AS (SELECT ('0x' || substr(md5(concat_ws(chr(1), CAST(o_custkey AS VARCHAR), CAST(o_orderdate AS VARCHAR), CAST(o_orderkey AS VARCHAR), o_orderpriority, o_orderstatus, CAST(o_totalprice AS VARCHAR))), 1, 13))::BIGINT AS h FROM orders)
 SELECT count(*) AS n_rows, bit_xor(h) AS hash_xor, CAST(sum(h) AS VARCHAR) AS hash_sum FROM h""")
 def frame_hash(t):
-    return Q.frame_hash(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    return Q.frame_hash(t("orders"))
 
 
 @query("A47 K11", """
@@ -369,3 +369,25 @@ def reconcile_counts(t):
               .unionByName(of(t("customer"), "customers", F.count(F.lit(1)), e))
               .unionByName(of(t("orders"), "lineitem_orders", F.count(F.lit(1)), e)))
     return found.join(wanted, "name").withColumn("matches", F.col("n") == F.col("expected"))
+
+
+@query("A17", """
+WITH g AS (SELECT CASE WHEN p_partkey % 10 < 7 THEN 'train' ELSE 'test' END AS split, p_brand, p_size, count(*) AS n FROM part GROUP BY ALL), s AS (SELECT split, count(*) FILTER (WHERE n = 1) / count(*)::DOUBLE AS share FROM g GROUP BY 1)
+SELECT round(max(share) FILTER (WHERE split = 'test'), 6) AS test_share, round(max(share) FILTER (WHERE split = 'train'), 6) AS train_share, round(max(share) FILTER (WHERE split = 'test') / nullif(max(share) FILTER (WHERE split = 'train'), 0), 6) AS ratio FROM s""")
+def diversity_ratio(t):
+    """Share of groups that hold one row, test over train."""
+    split = F.when(F.col("p_partkey") % 10 < 7, "train").otherwise("test")
+    groups = t("part").groupBy(split.alias("split"), "p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"))
+    share = lambda s: F.count_if((F.col("split") == s) & (F.col("n") == 1)) / F.nullif(F.count_if(F.col("split") == s), F.lit(0))
+    return groups.agg(F.round(share("test"), 6).alias("test_share"), F.round(share("train"), 6).alias("train_share"),
+                      F.round(share("test") / F.nullif(share("train"), F.lit(0.0)), 6).alias("ratio"))
+
+
+@query("A21", """
+WITH k AS (SELECT l_partkey, min(l_suppkey) <> max(l_suppkey) AS mixed, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1)
+SELECT CASE WHEN mixed THEN 'mixed' ELSE 'single' END AS sources, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std FROM k GROUP BY 1""")
+def source_partition(t):
+    """Keys measured by one source against keys measured by several."""
+    keys = t("lineitem").groupBy("l_partkey").agg((F.min("l_suppkey") != F.max("l_suppkey")).alias("mixed"), F.avg("l_extendedprice").alias("v"))
+    return keys.groupBy(F.when(F.col("mixed"), "mixed").otherwise("single").alias("sources")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev_samp("v"), 4).alias("std"))

@@ -148,7 +148,7 @@ def bootstrap_ci(t):
 
 @query("A37")
 def bootstrap_auc_ci(t):
-    draws = S.bootstrap_auc(predictions(t, "id", "p", "y", "w"), "id", "y", "p", "w", replicates=20, seed=42)
+    draws = S.bootstrap_auc(predictions(t, "id", "p", "y", "w"), "id", "y", "p", "w", replicates=1000, seed=42)
     return S.percentile_interval(draws, ["roc_auc"])
 
 

@@ -117,12 +117,12 @@ def overlap_counts(t):
 
 
 # Edges: consecutive order pairs of one customer region, ends are parts.
-EDGE_SQL = """edges AS (SELECT DISTINCT l_partkey AS src, (l_partkey * 3 + l_suppkey) % (SELECT count(*) FROM part) AS dst FROM lineitem WHERE l_linenumber = 1)"""
+EDGE_SQL = """edges AS (SELECT DISTINCT l_partkey AS src, (l_partkey * 3 + l_suppkey) % (SELECT count(*) FROM part) AS dst FROM lineitem)"""
 
 
 def edges(t):
     from tidegauge.operators.ordered import attach_scalars
-    line = t("lineitem").filter("l_linenumber = 1").select("l_partkey", "l_suppkey")
+    line = t("lineitem").select("l_partkey", "l_suppkey")
     sized = attach_scalars(line, t("part").agg(F.count(F.lit(1)).alias("n")))
     return sized.select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 3 + F.col("l_suppkey")) % F.col("n")).alias("dst")).distinct()
 
@@ -171,18 +171,18 @@ def anti_outside(t):
 
 
 @query("J22 M19", """
-WITH f AS (SELECT l_partkey AS k, avg(l_quantity) AS q, count(DISTINCT l_suppkey) AS s FROM lineitem WHERE l_orderkey % 20 < 2 GROUP BY 1)
+WITH f AS (SELECT l_partkey AS k, avg(l_quantity) AS q, count(DISTINCT l_suppkey) AS s FROM lineitem WHERE l_orderkey % 20 < 14 GROUP BY 1)
 SELECT p_partkey, round(coalesce(q, 0), 6) AS mean_quantity, coalesce(s, 0) AS n_sources FROM part LEFT JOIN f ON p_partkey = k""")
 def train_agg_apply(t):
-    fitted = t("lineitem").filter("l_orderkey % 20 < 2").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+    fitted = t("lineitem").filter("l_orderkey % 20 < 14").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
         F.avg("l_quantity").alias("mean_quantity"), F.countDistinct("l_suppkey").alias("n_sources"))
     return J.apply_train_aggregates(t("part").select("p_partkey"), fitted, "p_partkey").withColumn("mean_quantity", F.round("mean_quantity", 6))
 
 
 @query("J23", """
-WITH r AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 HAVING count(*) >= 2) SELECT count(*) AS n, count(o_custkey) AS n_covered, round(count(o_custkey) / count(*)::DOUBLE, 6) AS coverage FROM customer LEFT JOIN r ON c_custkey = o_custkey""")
+WITH r AS (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 2) SELECT count(*) AS n, count(o_custkey) AS n_covered, round(count(o_custkey) / count(*)::DOUBLE, 6) AS coverage FROM customer LEFT JOIN r ON c_custkey = o_custkey""")
 def coverage_ratio(t):
-    rep = t("orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("k")).filter("k >= 2")
+    rep = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("k")).filter("k >= 2")
     return t("customer").select("c_custkey").join(rep, "c_custkey", "left").agg(
         F.count(F.lit(1)).alias("n"), F.count("k").alias("n_covered"), F.round(F.count("k") / F.count(F.lit(1)), 6).alias("coverage"))
 
@@ -195,3 +195,15 @@ def edge_member_fraction(t):
     test = t("part").filter("p_partkey % 10 >= 8").select(F.col("p_partkey").alias("id"))
     return test.join(members, "id", "left").agg(
         F.count(F.lit(1)).alias("n_test"), F.count("hit").alias("n_members"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("fraction"))
+
+
+@query("J21", """
+WITH a AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 10 < 6), b AS (SELECT p_partkey AS id, CASE WHEN p_partkey * 7 % 10 >= 9 THEN 'val' WHEN p_partkey * 7 % 10 >= 7 THEN 'test' ELSE 'train' END AS split FROM part)
+SELECT split, count(*) AS n, count(a.id) AS n_leaked, count(a.id) = 0 AS stacking_safe FROM b LEFT JOIN a USING (id) WHERE split <> 'train' GROUP BY 1""")
+def cross_task_leakage(t):
+    """Held-out ids of one task that another task trains on."""
+    trained = t("part").filter("p_partkey % 10 < 6").select(F.col("p_partkey").alias("id"), F.lit(1).alias("hit"))
+    turn = F.col("p_partkey") * 7 % 10
+    held = t("part").select(F.col("p_partkey").alias("id"), F.when(turn >= 9, "val").when(turn >= 7, "test").otherwise("train").alias("split")).filter("split <> 'train'")
+    return held.join(trained, "id", "left").groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.count("hit").alias("n_leaked"), (F.count("hit") == 0).alias("stacking_safe"))

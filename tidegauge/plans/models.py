@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
+from tidegauge import constants as K
 from tidegauge.operators import models as M
 from tidegauge.operators import pairwise as P
 from tidegauge.operators import splits as SP
@@ -39,7 +41,24 @@ def support_filter(t):
     return M.feature_support(labelled_bits(t), "vector", 0.48)
 
 
-@query("M07 M08 M11")
+@query("M06", f"""WITH {LONG_SQL}, s AS (SELECT feature, CASE WHEN feature < 32 THEN 'bits' ELSE 'values' END AS block, count(*) FILTER (WHERE b) AS support, count(*) AS n FROM bits GROUP BY 1)
+SELECT feature, block, support, block <> 'bits' OR support >= greatest(1, ceil(48e-2 * n)) AS keep FROM s""")
+def support_by_block(t):
+    """Only bit blocks need a minimum support."""
+    block = F.when(F.col("feature") < 32, "bits").otherwise("values")
+    held = M.feature_support(labelled_bits(t), "vector", 0.48)
+    return held.select("feature", block.alias("block"), "support", ((block != "bits") | F.col("keep")).alias("keep"))
+
+
+@query("M11", f"WITH {LONG_SQL} SELECT id, count(*) AS n_features, round(sum(x), 6) AS total FROM u WHERE feature // 16 IN (1, 3) GROUP BY 1")
+def family_projection(t):
+    rows = vectors(t)
+    dictionary = M.feature_variance(rows, "vector").select(F.col("feature").alias("index"), F.concat(F.lit("family-"), F.floor(F.col("feature") / 16).cast("string")).alias("family"))
+    cut = M.project_family(rows, "vector", dictionary, ["family-1", "family-3"])
+    return cut.select("id", F.size("vector").cast("long").alias("n_features"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("M07 M08")
 def correlation_prune(t):
     rows = vectors(t).select("id", F.concat("vector", F.transform(F.slice("vector", 1, 4), lambda x: x * 2 + 1)).alias("vector"))
     matrix = M.correlation_matrix(rows, "vector")
@@ -63,7 +82,7 @@ def token_vocabulary(t):
 @query("M09 M10")
 def stability_selection(t):
     rows = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("double").alias("y"))
-    scores = M.ridge_stability(rows, "id", "vector", "y", resamples=20)
+    scores = M.ridge_stability(rows, "id", "vector", "y", resamples=50)
     return scores.orderBy(F.desc("stability"), "feature").limit(20)
 
 
@@ -85,16 +104,25 @@ def consensus_features(t):
 def training_rows(t):
     return t("embeddings").select(
         F.col("vec_id").alias("id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-        F.col("label").cast("double").alias("y"), F.lit(1.0).alias("w"), (F.col("vec_id") % 3).cast("int").alias("fold"))
+        F.col("label").cast("double").alias("y"), F.lit(1.0).alias("w"), (F.col("vec_id") % 5).cast("int").alias("fold"))
 
 
 @query("M12 W11 D12")
 def elastic_net_grid(t):
-    grid = [(f"reg={r},l1={a}", {"regParam": r, "elasticNetParam": a}) for r, a in ((0.01, 0.1), (0.1, 0.5))]
+    grid = [(f"reg={r},l1={a}", {"regParam": r, "elasticNetParam": a}) for r in K.NET_PENALTIES for a in K.NET_MIXES]
     _, best, oof = M.grid_search(training_rows(t), grid, lambda s: LinearRegression(labelCol="y", weightCol="w", maxIter=50, **s))
     return S.regression_metrics(oof, [], "y", "p", "w").withColumn("config", F.lit(best["config"]))
 
 
+@query("M12 D12")
+def logistic_grid(t):
+    rows = training_rows(t).withColumn("y", (F.col("y") >= 5).cast("double"))
+    size = rows.count()
+    grid = [(f"c={c},l1={a}", {"regParam": 1.0 / (c * size), "elasticNetParam": a}) for c in K.NET_INVERSES for a in K.NET_MIXES]
+    scores, best, _ = M.grid_search(rows, grid, lambda s: LogisticRegression(labelCol="y", weightCol="w", maxIter=50, **s), probability=True)
+    return scores.select("config", F.round(-F.col("score"), 6).alias("roc_auc"), (F.col("config") == best["config"]).alias("best"))
+
+
 @query("M12 D12")
 def boosted_trees_oof(t):
     grid = [("depth=3", {"maxDepth": 3})]

@@ -42,13 +42,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL["folder"]
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, not made yet."""
+    return f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts lineage where several branches read one expensive input.  A lost executor
     costs a re-read, later branches still prune columns and push filters.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -32,10 +32,6 @@ def write_split(assigned: DataFrame, path: str, task: str, strategy: str) -> Non
      .write.mode("overwrite").partitionBy("task", "strategy", "split").parquet(path))
 
 
-def write_folds(assigned: DataFrame, path: str, fold: str = "fold") -> None:
-    assigned.write.mode("overwrite").partitionBy(fold).parquet(path)
-
-
 def file_manifest(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
     """Path, bytes, md5 and sha-256 of every file below ``path``."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -83,7 +79,7 @@ def run_cell(spark: SparkSession, path: str, build) -> bool:
     return True
 
 
-def render_table(df: DataFrame, max_rows: int = 1000) -> dict[str, str]:
+def render_table(df: DataFrame, max_rows: int) -> dict[str, str]:
     """Small result as Markdown and LaTeX text; nulls become ``--``."""
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
