@@ -18,9 +18,10 @@ from tidegauge.llm import decontaminate, language, pieces, secrets, simhash
 from tidegauge.llm.tokens import tokenizer_path
 from tidegauge.session import stage
 
-SHINGLE = 5
-#: of 64 bits: a SimHash similarity of 0.95, for which the search stays linear
-RADIUS = 3
+#: near copies share 0.8 of their shingles of five words
+SHINGLE, SIMILARITY = 5, 0.8
+#: of 64 bits of the word-set fingerprints that find them
+RADIUS = 4
 
 
 def _identity() -> Column:
@@ -39,7 +40,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: the first document by id of each group of near copies stays."""
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), _identity().alias("key"))
-    groups = simhash.near_duplicates(docs.select(_identity().alias("doc_id"), "text"), SHINGLE, RADIUS, letters=True)
+    groups = simhash.similar_documents(docs.select(_identity().alias("doc_id"), "text"), SHINGLE, SIMILARITY, RADIUS)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
     return keyed.join(first, F.hash(keyed["key"]).eqNullSafe(F.hash(first["key"])) & keyed["key"].eqNullSafe(first["key"]), "left_semi").dropDuplicates(["key"]).select("record.*")
 

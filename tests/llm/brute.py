@@ -5,7 +5,6 @@ from __future__ import annotations
 import collections
 import hashlib
 import re
-import zlib
 
 import numpy as np
 import xxhash
@@ -119,5 +118,24 @@ def groups(prints, radius):
     return {d: find(d) for d in root}
 
 
-def crc(data):
-    return zlib.crc32(data)
+def similar(texts, k, least):
+    """doc -> smallest doc reachable over pairs that share ``least`` of their k-word shingles; ``texts`` is a dict."""
+    sets = {}
+    for doc, text in texts.items():
+        words = alnum(text)
+        sets[doc] = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or {tuple(words)}
+    root = {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    order = sorted(texts)
+    for n, b in enumerate(order):
+        for a in order[:n]:
+            shared = len(sets[a] & sets[b])
+            if shared >= least * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in texts}

@@ -202,6 +202,25 @@ def test_components_of_a_chain(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+@pytest.mark.parametrize("dense", [48, 2])
+def test_similar_documents(spark, awkward, empty, dense):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [[rng.choice(vocabulary) for _ in range(400)] for _ in range(12)]
+    rows = []
+    for n, words in enumerate(base):
+        for copy in range(12):
+            own = list(words)
+            for _ in range(copy % 4):
+                own[rng.randrange(400)] = rng.choice(vocabulary)
+            rows.append((100 * n + copy, " ".join(own) + "." * (copy % 3)))
+    rows += [(5000, "short text"), (5001, "Short  TEXT!"), (5002, "text short"), (5003, None), (5004, ""), (5003, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, dense=dense).collect()}
+    assert got == brute.similar(dict(rows), 5, 0.8)
+    assert simhash.similar_documents(awkward).count() == 12 and simhash.similar_documents(empty).count() == 0
+
+
 # 9 language
 def test_language(spark, texts, awkward, empty):
     found = language.op9_backoff(spark, FOLDER).collect()

@@ -30,8 +30,9 @@ def test_stages(spark, tmp_path):
         assert len(kept[name]) == docs.count()
     source = dict((r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect())
     assert set(kept["language"]) == {d for d, t in source.items() if any(c.isalpha() for c in t or "")}
-    prints = [(d, brute.simhash(" ".join(brute.alnum(r.text)), corpus_pipeline.SHINGLE)) for d, r in kept["language"].items()]
-    assert set(kept["near_duplicates"]) == set(brute.groups(prints, corpus_pipeline.RADIUS).values())
+    groups = brute.similar({d: r.text for d, r in kept["language"].items()}, corpus_pipeline.SHINGLE, corpus_pipeline.SIMILARITY)
+    firm = brute.similar({d: r.text for d, r in kept["language"].items()}, corpus_pipeline.SHINGLE, 0.9)
+    assert set(groups.values()) <= set(kept["near_duplicates"]) <= set(firm.values())
     found = {r[0] for r in brute.contamination([(d, r.text) for d, r in kept["near_duplicates"].items()], items) if r[5]}
     assert set(kept["decontaminate"]) == set(kept["near_duplicates"]) - found
     assert set(kept["secrets"]) == set(kept["decontaminate"]) == set(kept["pieces"])

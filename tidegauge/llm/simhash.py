@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.bytewords import ALNUM, NOT_SPACE, find_words, slices, spaced
+from tidegauge.llm import bittable
+from tidegauge.llm.bytewords import ALNUM, NOT_SPACE, Prefix, find_words, list_array, mix, run_hashes, signed, slices, spaced
 from tidegauge.llm.components import components
 from tidegauge.session import stage
 
@@ -46,8 +47,8 @@ DENSE = 48
 TABLE = 1 << 16
 
 
-def fingerprint_rows(texts: pa.Array, shingle: int, letters: bool = False) -> np.ndarray:
-    words = find_words(texts, ALNUM if letters else NOT_SPACE, lower=True)
+def fingerprint_rows(texts: pa.Array, shingle: int) -> np.ndarray:
+    words = find_words(texts, NOT_SPACE, lower=True)
     joined, start, end = spaced(words)
     out = np.zeros(len(texts), np.uint64)
     counts = words.counts
@@ -62,27 +63,68 @@ def fingerprint_rows(texts: pa.Array, shingle: int, letters: bool = False) -> np
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter(
         (digest(joined[i:j], 42) for i, j in zip(start[low].tolist(), end[high].tolist(), strict=True)), np.dtype(">u8"), len(low))
+    out[filled] = _majority(hashes, opens, sizes)
+    return out
+
+
+def _majority(hashes: np.ndarray, opens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bits set in over half of each run of big-endian hashes."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
     ones = np.add.reduceat(bits, opens, axis=0, dtype=np.int32)
-    out[filled] = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").ravel()
+    return np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").ravel()
+
+
+def _distinct_runs(values: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct values, row after row, and how many each row has."""
+    keys = mix(values ^ mix(row.astype(np.uint64) + np.uint64(1)))
+    first = np.sort(np.unique(keys, return_index=True)[1])
+    return values[first], np.bincount(row[first], minlength=rows)
+
+
+def word_set_rows(texts: pa.Array) -> np.ndarray:
+    """Fingerprints of the sets of words, which are runs of letters and digits.
+
+    A changed word moves these by much less than it moves those of shingles.
+    """
+    words = find_words(texts, ALNUM, lower=True)
+    out = np.zeros(len(texts), np.uint64)
+    if len(words.start):
+        values, counts = _distinct_runs(words.hashes(), words.row, len(texts))
+        filled = np.flatnonzero(counts)
+        sizes = counts[filled]
+        out[filled] = _majority(values.astype(">u8"), np.cumsum(sizes) - sizes, sizes)
     return out
 
 
-def _fingerprints(shingle: int, letters: bool):
+def shingle_sets(texts: pa.Array, shingle: int) -> pa.Array:
+    """Hashes of each text's distinct shingles of letter-and-digit words, as lists of longs."""
+    words = find_words(texts, ALNUM, lower=True)
+    row, hashes = words.row, words.hashes()
+    runs = run_hashes(hashes, shingle)
+    inside = np.flatnonzero(row[: len(runs)] == row[shingle - 1 :]) if len(runs) else np.zeros(0, np.int64)
+    short = np.flatnonzero((words.counts > 0) & (words.counts < shingle))
+    whole = Prefix(hashes, 0xA0761D6478BD642F).of(words.first[short], words.first[short + 1])
+    values, rows = np.concatenate([runs[inside], whole]), np.concatenate([row[inside], short])
+    order = np.argsort(rows, kind="stable")
+    values, counts = _distinct_runs(values[order], rows[order], len(texts))
+    return list_array(signed(values), np.repeat(np.arange(len(texts)), counts), len(texts))
+
+
+def _fingerprints(shingle: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                prints = fingerprint_rows(part.column(1), shingle, letters)
+                prints = word_set_rows(part.column(1)) if shingle is None else fingerprint_rows(part.column(1), shingle)
                 yield pa.record_batch([part.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, letters: bool = False) -> DataFrame:
-    """doc_id and fp; with ``letters`` words are runs of letters and digits, so punctuation and case do not count."""
+def fingerprints(docs: DataFrame, shingle: int | None = SHINGLE) -> DataFrame:
+    """doc_id and fp, over shingles or, with None, over the set of words."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _fingerprints(shingle, letters), f"doc_id {id_type}, fp bigint")
+        _fingerprints(shingle), f"doc_id {id_type}, fp bigint")
 
 
 def _bit_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,17 +292,76 @@ def _table_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             [batch.column(0), pa.array(_slot(batch.column(1).to_numpy()).astype(np.int32)), batch.column(2)], names=["part", "slot", "n"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS, dense: int = DENSE, letters: bool = False) -> DataFrame:
-    """One row a document: doc_id, fp, component_id (smallest id reachable over links)."""
-    prints = stage(fingerprints(docs, shingle, letters))
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(links(nodes, radius, parts, dense)).withColumnsRenamed({"node": "fp"})
+def _grouped(prints: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    joined = components(found).withColumnsRenamed({"node": "fp"})
     rooted = stage(nodes.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     classes = stage(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_duplicates(docs: DataFrame, shingle: int | None = SHINGLE, radius: int = RADIUS, parts: int = PARTS, dense: int = DENSE) -> DataFrame:
+    """One row a document: doc_id, fp, component_id (smallest id reachable over links)."""
+    prints = stage(fingerprints(docs, shingle))
+    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return _grouped(prints, nodes, links(nodes, radius, parts, dense))
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, parts: int = PARTS, dense: int = DENSE) -> DataFrame:
+    """Like ``near_duplicates``, but links are confirmed on the texts.
+
+    Word-set fingerprints within ``radius`` are candidates; the first documents of both
+    must share ``similarity`` of their distinct shingles (Jaccard).  Documents with one
+    fingerprint are compared with its first document the same way.
+    """
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                prints = pa.array(word_set_rows(part.column(2)).view(np.int64))
+                yield pa.record_batch([part.column(0), part.column(1), prints, _set_keys(part.column(2), shingle)], names=["doc_id", "text_key", "fp", "shingles_key"])
+
+    prints = stage(keyed.mapInArrow(prints_of, f"doc_id {id_type}, text_key bigint, fp bigint, shingles_key bigint"))
+    # texts with one set of shingles are one node; most copies end here
+    nodes = stage(prints.groupBy("shingles_key").agg(F.min(F.struct("doc_id", "text_key", "fp")).alias("first")).select("shingles_key", "first.*"))
+    classes = stage(nodes.groupBy("fp").agg(F.min(F.struct("doc_id", "shingles_key")).alias("first")).select("fp", "first.shingles_key"))
+    near = links(classes.select("fp"), radius, parts, dense).distinct()
+    first = classes.select("fp", "shingles_key")
+    pairs = stage(
+        near.join(first.select(F.col("fp").alias("a"), F.col("shingles_key").alias("x")), "a")
+        .join(first.select(F.col("fp").alias("b"), F.col("shingles_key").alias("y")), "b")
+        .select("x", "y")
+        .unionByName(nodes.select("fp", F.col("shingles_key").alias("x")).join(first.withColumnsRenamed({"shingles_key": "y"}), "fp").where("x <> y").select("x", "y")))
+    ends = stage(pairs.select(F.col("x").alias("shingles_key")).unionByName(pairs.select(F.col("y").alias("shingles_key"))).distinct()
+                 .join(nodes.select("shingles_key", "text_key"), "shingles_key"))
+    table = docs.sparkSession.sparkContext.broadcast(bittable.collect_bits(ends, "text_key"))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.filter(pa.array(bittable.member(table.value, batch.column(1).to_numpy())))
+            for part in slices(wanted):
+                yield pa.record_batch([part.column(1), shingle_sets(part.column(2), shingle)], names=["text_key", "shingles"])
+
+    sets = stage(keyed.mapInArrow(sets_of, "text_key bigint, shingles array<bigint>").join(ends, "text_key").select("shingles_key", "shingles").dropDuplicates(["shingles_key"]))
+    side = lambda c: sets.select(F.col("shingles_key").alias(c), F.col("shingles").alias(f"s{c}"))
+    shared = F.size(F.array_intersect("sx", "sy"))
+    alike = pairs.join(side("x"), "x").join(side("y"), "y").where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select("x", "y")
+    as_print = {"shingles_key": "fp", "doc_id": "least"}
+    return _grouped(
+        prints.select("doc_id", F.col("shingles_key").alias("fp")), nodes.select("shingles_key", "doc_id").withColumnsRenamed(as_print), alike)
+
+
+def _set_keys(texts: pa.Array, shingle: int) -> pa.Array:
+    """One hash of each text's set of shingles; 0 for no words."""
+    sets = shingle_sets(texts, shingle)
+    values = mix(sets.flatten().to_numpy().view(np.uint64))
+    totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+    bounds = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+    return signed(totals[bounds[1:]] - totals[bounds[:-1]])
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
