@@ -62,6 +62,7 @@ def compare(name, run, sql, spark, folder):
 if __name__ == "__main__":
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from tidegauge import all_queries, build_session, oracle_statements
+    from tidegauge.session import drop_stages
 
     from tidegauge.operators import ordered
 
@@ -81,6 +82,7 @@ if __name__ == "__main__":
             problem, n = compare(q, queries[q], oracles.get(q), spark, f"{ROOT}/sf{sf}")
         except Exception as error:  # noqa: BLE001
             problem, n = f"{type(error).__name__}: {str(error)[:700]}", -1
+        drop_stages(spark)
         state = "ok " if problem is None else "BAD"
         bad += problem is not None
         kind = "sql" if q in oracles else "rows"

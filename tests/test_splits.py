@@ -2,6 +2,8 @@
 
 import math
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -77,10 +79,10 @@ def test_deal_equals_step_by_step():
         size, count = int(rng.integers(1, 9)), int(rng.integers(0, 60))
         left, got = list(deficits), [0] * 4
         for _ in range(count):
-            best = max(range(4), key=lambda i: (left[i], -i))
+            best = max(range(4), key=lambda i: (left[i], hashlib.md5(f"{size}|{i}|7".encode()).hexdigest()))
             got[best] += 1
             left[best] -= size
-        assert S._deal(size, count, deficits) == got
+        assert S._deal(size, count, deficits, 7) == got
 
 
 def test_cliff_split_votes_and_fallback(spark, compounds):

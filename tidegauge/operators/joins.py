@@ -72,7 +72,7 @@ def guarded_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def route(rows: DataFrame, by_id: DataFrame, by_group: DataFrame, id_col: str, group: str, group_only: bool = False) -> DataFrame:
     """Split of a row from its id, else from its group, else ``unassigned``."""
-    ids = by_id.select(id_col, F.col("split").alias("_si"))
+    ids = by_id.groupBy(id_col).agg(F.min("split").alias("_si"))  # one line an id, so rows never multiply
     groups = by_group.groupBy(group).agg(F.min("split").alias("_sg"))
     joined = rows.join(ids, id_col, "left").join(groups, group, "left")
     chosen = F.coalesce(*([] if group_only else [F.col("_si")]), F.col("_sg"), F.lit("unassigned"))

@@ -165,7 +165,8 @@ def nearest(
     order = F.md5(F.concat_ws("|", F.col("rid").cast("string"), F.lit(str(seed))))
     pivots = _matrix(pd.Series([r["vector"] for r in ref_set.orderBy(order, "rid").limit(n_pivots).collect()]))
     if not len(pivots):
-        return queries.sparkSession.createDataFrame([], "id bigint, ref bigint, distance double, rank int")
+        kinds = [f.schema["id"].dataType.simpleString() for f in (queries, refs)]
+        return queries.sparkSession.createDataFrame([], f"id {kinds[0]}, ref {kinds[1]}, distance double, rank int")
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -205,34 +206,37 @@ def nearest(
     q_kind = queries.schema["id"].dataType.simpleString()
     asked = q_set.select("qid", "vector").mapInPandas(candidates, f"qid {q_kind}, vector array<double>, cell int")
     n_blocks = max(1, int(-(-q_set.count() // BLOCK)))
-    q_block = F.abs(F.xxhash64("qid")) % n_blocks
+    q_block = F.pmod(F.xxhash64("qid"), F.lit(n_blocks))
     asked = asked.select("cell", q_block.alias("qb"), F.explode(F.sequence(F.lit(0), F.element_at(spread, F.col("cell")) - 1)).alias("rb"),
-                         F.lit(0).alias("side"), F.col("qid").cast("bigint").alias("key"), "vector", F.array(F.lit(0).cast(kind)).alias("ids"))
+                         F.array("qid").alias("asks"), "vector", F.expr(f"cast(array() as array<{kind}>)").alias("ids"))
     # A reference block meets each query block that asks for its cell, never more.
     pairs = asked.select("cell", "qb").distinct()
     offered = cells.join(pairs, "cell").select(
-        "cell", "qb", (F.abs(F.xxhash64("rid")) % F.element_at(spread, F.col("cell"))).cast("int").alias("rb"), F.lit(1).alias("side"),
-        F.col("rid").cast("bigint").alias("key"), "vector", "ids")
+        "cell", "qb", F.pmod(F.xxhash64("rid"), F.element_at(spread, F.col("cell"))).cast("int").alias("rb"),
+        F.expr(f"cast(array() as array<{q_kind}>)").alias("asks"), "vector", "ids")
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("key")
+        side = pdf["asks"].map(len).to_numpy() > 0
+        q, r = pdf[side], pdf[~side]
         if not len(q) or not len(r):
             return pd.DataFrame({"qid": [], "ref": [], "distance": []})
+        r = r.iloc[np.argsort([i[0] for i in r["ids"]], kind="stable")]
         d = _distances(_matrix(q["vector"]), _matrix(r["vector"]), metric)
-        ids = [list(i) for i in r["ids"]]
         top = np.argsort(d, axis=1, kind="stable")[:, :want]
-        out_q, out_r, out_d = [], [], []
-        for i, qid in enumerate(q["key"].to_numpy()):
-            for j in top[i]:
-                out_q += [qid] * len(ids[j])
-                out_r += ids[j]
-                out_d += [d[i, j]] * len(ids[j])
-        return pd.DataFrame({"qid": out_q, "ref": out_r, "distance": out_d})
-
-    partial = asked.unionByName(offered).groupBy("cell", "qb", "rb").applyInPandas(best, f"qid bigint, ref {kind}, distance double")
+        sizes = r["ids"].map(len).to_numpy()
+        flat, starts = np.concatenate(r["ids"].tolist()), np.cumsum(sizes) - sizes
+        picked = top.ravel()
+        counts = sizes[picked]
+        at = np.repeat(starts[picked] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        asks = np.concatenate(q["asks"].tolist())
+        return pd.DataFrame({
+            "qid": np.repeat(np.repeat(asks, top.shape[1]), counts), "ref": flat[at],
+            "distance": np.repeat(np.take_along_axis(d, top, axis=1).ravel(), counts)})
+
+    partial = asked.unionByName(offered).groupBy("cell", "qb", "rb").applyInPandas(best, f"qid {q_kind}, ref {kind}, distance double")
     rounded = F.round("distance", 9)
     merged = keep_first(partial, ["qid"], rounded, F.col("ref"), k=want)
-    answers = queries.select("id", "vector").join(q_set, "vector").select("id", F.col("qid").cast("bigint").alias("qid")).join(merged, "qid")
+    answers = queries.select("id", "vector").join(q_set, "vector").select("id", "qid").join(merged, "qid")
     if exclude_self:
         answers = answers.filter(F.col("id") != F.col("ref"))
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(rounded, "ref")))

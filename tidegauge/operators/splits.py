@@ -8,6 +8,7 @@ the driver.  Rows never do.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -167,10 +168,12 @@ def cliff_split(
 # ------------------------------------------------------------------ folds and targets
 
 
-def _deal(size: int, count: int, deficits: list[float]) -> list[int]:
+def _deal(size: int, count: int, deficits: list[float], seed: int) -> list[int]:
     """How many of ``count`` equal groups each bucket gets when every group goes to the
-    largest deficit; ties go to the earlier bucket.  Closed form: level, then leftovers."""
+    largest deficit; ties go by a seeded hash of (size, bucket), so that no bucket always
+    gets the large groups.  Closed form: level, then leftovers."""
     k = len(deficits)
+    turn = [hashlib.md5(f"{size}|{i}|{seed}".encode()).hexdigest() for i in range(k)]
     low, high = min(deficits) - size * (count + 1), max(deficits)
     taken = lambda level: [max(0, math.floor((d - level) / size)) for d in deficits]
     for _ in range(200):
@@ -183,12 +186,12 @@ def _deal(size: int, count: int, deficits: list[float]) -> list[int]:
             break
     got = taken(high)
     while sum(got) < count:
-        best = max(range(k), key=lambda i: (deficits[i] - got[i] * size, -i))
+        best = max(range(k), key=lambda i: (deficits[i] - got[i] * size, turn[i]))
         got[best] += 1
     return got
 
 
-def deal_groups(groups: DataFrame, targets: dict[str, float], tie: str) -> DataFrame:
+def deal_groups(groups: DataFrame, targets: dict[str, float], tie: str, seed: int = 42) -> DataFrame:
     """Largest groups first, each to the bucket with the largest deficit.
 
     The driver sees one line per distinct size.  Sizes sum to the row count N, so there
@@ -199,7 +202,7 @@ def deal_groups(groups: DataFrame, targets: dict[str, float], tie: str) -> DataF
     deficits = [float(targets[b]) for b in names]
     lines = []
     for row in shape:
-        got = _deal(row["size"], row["n"], deficits)
+        got = _deal(row["size"], row["n"], deficits, seed)
         deficits = [d - g * row["size"] for d, g in zip(deficits, got)]
         ends, total = [], 0
         for g in got:
@@ -219,7 +222,7 @@ def scaffold_folds(df: DataFrame, id_col: str, group: str, folds: int = 5, seed:
     groups = stage(df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("h", seeded_hash(F.col(group), seed)))
     n = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     targets = {str(k): n // folds + (1 if k < n % folds else 0) for k in range(folds)}
-    multi = deal_groups(groups.filter("size > 1"), targets, "h").select(group, F.col("bucket").cast("int").alias("fold"))
+    multi = deal_groups(groups.filter("size > 1"), targets, "h", seed).select(group, F.col("bucket").cast("int").alias("fold"))
     single = positions(groups.filter("size = 1"), [], "h", "h").select(group, (F.col("pos") % folds).cast("int").alias("fold"))
     return df.join(multi.unionByName(single), group)
 
@@ -229,7 +232,7 @@ def distribute_groups(df: DataFrame, group: str, label: str, targets: dict[str,
     groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.avg(F.coalesce(F.col(label).cast("double"), F.lit(0.0))).alias("_m"))
     groups = stage(groups.withColumn("h", seeded_hash(F.col(group), seed)))
     ordered = {name: targets[name] for name in ("test", "val", "train")}
-    dealt = deal_groups(groups, ordered, "_m").select(group, F.col("bucket").alias("split"))
+    dealt = deal_groups(groups, ordered, "_m", seed).select(group, F.col("bucket").alias("split"))
     return df.join(dealt, group)
 
 
@@ -255,11 +258,15 @@ def audit_split(assigned: DataFrame, id_col: str, group: str, value: str, allow_
     """One row of overlaps and drift; raises on leakage."""
     from tidegauge.operators.stats import class_drift
 
-    part = lambda s: assigned.filter(F.col("split") == s)
+    keys = F.array(*[F.struct(F.lit(n).alias("name"), F.col(k).cast("string").alias("key")) for n, k in (("group", group), ("id", id_col))])
+    inside = {s: F.bool_or(F.col("split") == s) for s in ("train", "test", "val")}
+    sides = assigned.select("split", F.inline(keys)).filter(F.col("key").isNotNull()).groupBy("name", "key").agg(*[c.alias(s) for s, c in inside.items()])
+    found = sides.groupBy("name").agg(*[F.count_if(F.col("train") & F.col(s)).alias(s) for s in ("test", "val")]).collect()  # two rows
+    overlaps = {r["name"]: r for r in found}
     out = class_drift(assigned, "split", value, K.ACTIVE_FROM)
-    for name, key, strict in (("group", group, not allow_group_overlap), ("id", id_col, True)):
+    for name, strict in (("group", not allow_group_overlap), ("id", True)):
         for other in ("test", "val"):
-            shared = audit.overlap(part("train"), part(other), key).first()["n_shared"]
+            shared = overlaps[name][other] if name in overlaps else 0
             if shared and strict and other == "test":
                 raise RuntimeError(f"{name} leakage: {shared} in train and test")
             out = out.withColumn(f"{name}_train_{other}_overlap", F.lit(int(shared)))

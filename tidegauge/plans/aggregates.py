@@ -22,13 +22,9 @@ T1_SQL = f"""{TIER_SQL}, t1 AS (SELECT *, least(greatest(assay_confidence * (CAS
 
 
 def tier_one(t):
-    """Tier-one records from the staged tier table: written once, read by every later stage.
-
-    The tier is a partition column, so readers open only their own folder.
-    """
+    """Tier-one records; a stage that reads them several times writes them itself."""
     keep = ["compound_id", "source_id", "source_db", "ord", "unit_raw", "dose_response", "stereo_flag", "activity"]
-    table = stage(tiered(t).select(*keep, weight_of_replicate().alias("rep_weight"), "tier"), "tier")
-    return table.filter("tier = 'T1'").drop("tier")
+    return tiered(t).filter("tier = 'T1'").select(*keep, weight_of_replicate().alias("rep_weight"))
 
 
 @query("A01 A02 A03 A04 A05 A06 A07 A08 A09 A15", f"""
@@ -49,7 +45,7 @@ SELECT a.compound_id, round(wmed, 6) AS value, round(m, 6) AS value_median, roun
  CASE WHEN source_count >= 2 THEN round(greatest(least(least(source_count / 3e0, 1e0) * (1e0 - least(std, 1e0)), 1e0), 0e0), 4) ELSE 0e0 END AS consensus
 FROM agg a JOIN med USING (compound_id) JOIN mad USING (compound_id) JOIN wm USING (compound_id) JOIN fl f ON f.compound_id = a.compound_id AND f.rn = 1""")
 def replicate_agg(t):
-    rows = tier_one(t)
+    rows = stage(tier_one(t))
     extra = [
         A.distinct_list("source_db").alias("source_list"),
         F.countDistinct("source_db").alias("source_count"),
@@ -110,7 +106,7 @@ an AS (SELECT compound_id FROM e GROUP BY 1 HAVING count(DISTINCT source_id) >=
 g AS (SELECT compound_id, median(activity) AS m FROM s GROUP BY 1), r AS (SELECT source_id, activity - m AS d FROM s JOIN g USING (compound_id))
 SELECT source_id, round(median(d), 6) AS shift, round(stddev_samp(d), 6) AS shift_std, count(*) AS n_anchors FROM r GROUP BY 1""")
 def assay_bias(t):
-    out = A.source_bias(tier_one(t), "compound_id", "source_id", "activity")
+    out = A.source_bias(stage(tier_one(t)), "compound_id", "source_id", "activity")
     return out.select("source_id", F.round("shift", 6).alias("shift"), F.round("shift_std", 6).alias("shift_std"), "n_anchors")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_STAGED: list[str] = []
 
 
 def build_session(master: str | None = None, app: str = "tidegauge", **conf: str) -> SparkSession:
@@ -35,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     )
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if "folder" not in _LOCAL:
         _LOCAL["folder"] = tempfile.mkdtemp(prefix="stage-")
@@ -54,6 +56,16 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     costs a re-read, later branches still prune columns and push filters.
     """
     path = new_folder(df.sparkSession)
+    _STAGED.append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Deletes what ``stage`` has written in this process; call it when its readers are done."""
+    gone = 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
