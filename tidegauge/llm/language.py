@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bytewords import slices
+from tidegauge.llm.frequent import most_frequent
 from tidegauge.session import stage
 
 FIT_ROWS = 2_000
@@ -102,7 +103,8 @@ def words_of(text: Column) -> Column:
 def fit(train: DataFrame, fit_rows: int = FIT_ROWS, words: int = WORDS, grams: int = GRAMS) -> LanguageModel:
     """Counts words and n-grams of a bounded sample of ``train`` (doc_id, text, lang)."""
     usable = train.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows"))
+    # a written table of a few rows is broadcast by its size, so texts are not dealt by language
+    sizes = stage(usable.groupBy("lang").agg(F.count("*").alias("rows")))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.join(sizes, "lang").where(chance < fit_rows / F.col("rows")).select("lang", F.explode(words_of(F.col("text"))).alias("word"))
     counted = stage(sample.groupBy("lang", "word").agg(F.count("*").alias("n")))
@@ -113,8 +115,8 @@ def fit(train: DataFrame, fit_rows: int = FIT_ROWS, words: int = WORDS, grams: i
     entries = counted.select("lang", F.lit(0).alias("gram"), F.col("word").alias("entry"), "n").unionByName(
         counted.select("lang", F.lit(1).alias("gram"), F.explode(pieces).alias("entry"), "n"))
     per_lang = stage(entries.groupBy("gram", "entry", "lang").agg(F.sum("n").alias("n")))
-    top = per_lang.groupBy("gram", "entry").agg(F.sum("n").alias("all")).where(F.col("all") >= SEEN)
-    kept = [top.where(F.col("gram") == g).orderBy(F.desc("all"), "entry").limit(size) for g, size in ((0, words), (1, grams))]
+    top = stage(per_lang.groupBy("gram", "entry").agg(F.sum("n").alias("all")).where(F.col("all") >= SEEN))
+    kept = [most_frequent(top.where(F.col("gram") == g), "all", size) for g, size in ((0, words), (1, grams))]
     rows = per_lang.join(kept[0].unionByName(kept[1]).select("gram", "entry"), ["gram", "entry"]).toArrow()
     totals = {(r["gram"], r["lang"]): r["n"] for r in per_lang.groupBy("gram", "lang").agg(F.sum("n").alias("n")).collect()}
 
