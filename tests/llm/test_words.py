@@ -9,6 +9,7 @@ import pytest
 
 from tidegauge.llm import bittable, simple8b
 from tidegauge.llm.bytewords import ALNUM, NOT_SPACE, Prefix, find_words, run_hashes, slices, sliding_min, spaced
+from tidegauge.llm.frequent import most_frequent
 
 
 def some_texts(seed):
@@ -55,3 +56,13 @@ def test_bit_table_never_loses(spark):
     table = bittable.collect_bits(spark.createDataFrame([(k,) for k in [*keys, None]], "k bigint"), "k", bits=12)
     assert table.nbytes == 512 and bittable.member(table, np.array(keys)).all()
     assert not bittable.member(table, np.array([3, 100, 2000])).any()
+
+
+@pytest.mark.parametrize("most", [0, 1, 7, 50, 500])
+def test_most_frequent_is_bounded_and_from_the_top(spark, most):
+    counts = {f"w{i}": 1 + (i * i) % 97 for i in range(200)}
+    got = {r.word: r.n for r in most_frequent(spark.createDataFrame(list(counts.items()), "word string, n bigint"), "n", most).collect()}
+    assert len(got) <= most and (not got or min(got.values()) > max([0, *(n for w, n in counts.items() if w not in got)]))
+    if most >= 200:
+        assert got == counts
+    assert most_frequent(spark.createDataFrame([], "word string, n bigint"), "n", most).count() == 0
