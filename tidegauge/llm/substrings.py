@@ -169,15 +169,16 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         _parse(length, gram),
         f"doc_id {id_type}, text_hash bigint, n_words bigint, sha string, blocks array<struct<owner:bigint,a:bigint,b:bigint,low:int,high:int>>"))
     indexed = base.where(F.col("doc_id").isNotNull()).select("doc_id", "text_hash", F.inline("blocks"))
-    shared = indexed.groupBy("owner").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("owner")
+    # grouped sides are written first: only between two plain tables can Spark split a hot key
+    shared = stage(indexed.groupBy("owner").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("owner"))
     known = stage(indexed.join(shared, "owner", "left_semi").drop("owner"))
-    first = known.groupBy("a", "b").agg(F.min("doc_id").alias("origin"))
+    first = stage(known.groupBy("a", "b").agg(F.min("doc_id").alias("origin")))
     parsed = stage(known.join(first, ["a", "b"]).select(
         "doc_id", "text_hash", "low", "high", (F.col("origin") < F.col("doc_id")).alias("factor")))
     rest = parsed.where(~F.col("factor")).select("doc_id", "text_hash", F.col("low").alias("lows"), F.col("high").alias("highs"))
     windows = stage(_spans_of(own, rest, "lows", "highs").select("doc_id", "text_hash", "text", "lows", "highs").mapInArrow(
         _boundary_windows(length), f"doc_id {id_type}, text_hash bigint, start int, a bigint, b bigint"))
-    seen = windows.groupBy("a", "b").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x")
+    seen = stage(windows.groupBy("a", "b").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").drop("x"))
     spans = (
         windows.join(seen, ["a", "b"])
         .where(F.col("m") < F.col("doc_id"))
