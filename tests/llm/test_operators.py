@@ -7,7 +7,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
-from conftest import FOLDER
+from brute import FOLDER
 
 from tidegauge.llm import decontaminate, language, licenses, pieces, quality, secrets, sharding, simhash, substrings, tokens
 from tidegauge.llm.components import components

@@ -6,7 +6,7 @@ import brute
 import corpus_pipeline
 import oracle
 import pytest
-from conftest import FOLDER
+from brute import FOLDER
 
 from tidegauge.llm.queries import llm_oracles, llm_queries
 
