@@ -31,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm import bittable
@@ -280,9 +280,10 @@ def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS, dense: int
     )
     crowded = counts.where(F.col("n") > dense).select("part", "value")
     inside = index.join(crowded, ["part", "value"], "left_semi").select("fp").unionByName(met.where("crowded").select("fp")).distinct()
-    keys = stage(inside.mapInArrow(_neighbours(radius), "fp bigint, key bigint, depth tinyint"))
-    stars = stage(keys.where(F.col("depth") <= radius // 2).groupBy("key").agg(F.min("fp").alias("b")))
-    around = keys.join(stars, "key").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    # at most one line for each value about a node, and a value has no more nodes than neighbours
+    keys = inside.mapInArrow(_neighbours(radius), "fp bigint, key bigint, depth tinyint")
+    centre = F.min(F.when(F.col("depth") <= radius // 2, F.col("fp"))).over(Window.partitionBy("key"))
+    around = keys.withColumn("b", centre).where("fp <> b").select(F.col("fp").alias("a"), "b")
     return near.unionByName(around)
 
 
