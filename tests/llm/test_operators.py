@@ -221,6 +221,31 @@ def test_similar_documents(spark, awkward, empty, dense):
     assert simhash.similar_documents(awkward).count() == 12 and simhash.similar_documents(empty).count() == 0
 
 
+def templates(pages, words, fields, seed):
+    """Pages over one template that differ in some of their words, and a near copy of each: unlike pages share a fingerprint."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(3000)}" for _ in range(words)]
+    places = rng.sample(range(0, words, 6), fields)
+    rows = []
+    for page in range(pages):
+        own = list(base)
+        for place in places:
+            own[place] = f"f{rng.randrange(100_000)}"
+        copy = list(own)
+        copy[rng.choice(places)] = f"f{rng.randrange(100_000)}"
+        rows += [(page, " ".join(own)), (1000 + page, " ".join(copy))]
+    return rows
+
+
+@pytest.mark.parametrize(("words", "fields"), [(400, 12), (120, 8)])
+def test_similar_documents_of_a_template(spark, words, fields):
+    rows = templates(60, words, fields, words)
+    want = brute.similar(dict(rows), 5, 0.8)
+    assert len(set(want.values())) > 30 and sum(want[1000 + n] == want[n] for n in range(60)) == 60
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
 # 9 language
 def test_language(spark, texts, awkward, empty):
     found = language.op9_backoff(spark, FOLDER).collect()

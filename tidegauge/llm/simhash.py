@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm import bittable
 from tidegauge.llm.bytewords import ALNUM, NOT_SPACE, Prefix, find_words, list_array, mix, run_hashes, signed, slices, spaced
 from tidegauge.llm.components import components
+from tidegauge.llm.frequent import most_frequent
 from tidegauge.session import stage
 
 RADIUS = 2
@@ -45,6 +46,10 @@ SHINGLE = 3
 DENSE = 48
 #: slots of one group's table of counts
 TABLE = 1 << 16
+#: nodes whose shingles are counted for the order of prefixes
+SAMPLE = 2048
+#: pairs of rows compared at a time
+MEETINGS = 1 << 20
 
 
 def fingerprint_rows(texts: pa.Array, shingle: int) -> np.ndarray:
@@ -309,11 +314,13 @@ def near_duplicates(docs: DataFrame, shingle: int | None = SHINGLE, radius: int
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, parts: int = PARTS, dense: int = DENSE) -> DataFrame:
-    """Like ``near_duplicates``, but links are confirmed on the texts.
+    """Components of all pairs that share ``similarity`` of their distinct shingles (Jaccard).
 
-    Word-set fingerprints within ``radius`` are candidates; the first documents of both
-    must share ``similarity`` of their distinct shingles (Jaccard).  Documents with one
-    fingerprint are compared with its first document the same way.
+    Two searches give candidates, and both confirm them on the texts.  Word-set
+    fingerprints within ``radius`` are met through the first documents of both, and each
+    text is met with the first one of its own fingerprint: this joins most copies, but not
+    all, for a fingerprint says too little about shingles.  ``prefix_pairs`` then finds
+    every pair that is still in two components, without any fingerprint.
     """
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), F.col("text").cast("string").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -335,9 +342,19 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         .join(first.select(F.col("fp").alias("b"), F.col("shingles_key").alias("y")), "b")
         .select("x", "y")
         .unionByName(nodes.select("fp", F.col("shingles_key").alias("x")).join(first.withColumnsRenamed({"shingles_key": "y"}), "fp").where("x <> y").select("x", "y")))
-    ends = stage(pairs.select(F.col("x").alias("shingles_key")).unionByName(pairs.select(F.col("y").alias("shingles_key"))).distinct()
-                 .join(nodes.select("shingles_key", "text_key"), "shingles_key"))
-    table = docs.sparkSession.sparkContext.broadcast(bittable.collect_bits(ends, "text_key"))
+    alike = stage(_confirmed(keyed, nodes, pairs, shingle, similarity))
+    joined = components(alike).withColumnsRenamed({"node": "shingles_key"})
+    placed = stage(nodes.join(joined, "shingles_key", "left").select("shingles_key", "text_key", F.coalesce("root", "shingles_key").alias("root")))
+    apart = stage(prefix_pairs(keyed, placed, shingle, similarity))
+    alike = alike.unionByName(_confirmed(keyed, nodes, apart, shingle, similarity))
+    as_print = {"shingles_key": "fp", "doc_id": "least"}
+    return _grouped(
+        prints.select("doc_id", F.col("shingles_key").alias("fp")), nodes.select("shingles_key", "doc_id").withColumnsRenamed(as_print), alike)
+
+
+def _sets(keyed: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
+    """shingles_key and shingles of the nodes ``ends`` (shingles_key, text_key)."""
+    table = keyed.sparkSession.sparkContext.broadcast(bittable.collect_bits(ends, "text_key"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,13 +362,116 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
             for part in slices(wanted):
                 yield pa.record_batch([part.column(1), shingle_sets(part.column(2), shingle)], names=["text_key", "shingles"])
 
-    sets = stage(keyed.mapInArrow(sets_of, "text_key bigint, shingles array<bigint>").join(ends, "text_key").select("shingles_key", "shingles").dropDuplicates(["shingles_key"]))
+    return stage(keyed.mapInArrow(sets_of, "text_key bigint, shingles array<bigint>").join(ends, "text_key").select("shingles_key", "shingles").dropDuplicates(["shingles_key"]))
+
+
+def _confirmed(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The written ``pairs`` (x, y) of nodes that share ``similarity`` of their shingles."""
+    ends = stage(pairs.select(F.col("x").alias("shingles_key")).unionByName(pairs.select(F.col("y").alias("shingles_key"))).distinct()
+                 .join(nodes.select("shingles_key", "text_key"), "shingles_key"))
+    sets = _sets(keyed, ends, shingle)
     side = lambda c: sets.select(F.col("shingles_key").alias(c), F.col("shingles").alias(f"s{c}"))
     shared = F.size(F.array_intersect("sx", "sy"))
-    alike = pairs.join(side("x"), "x").join(side("y"), "y").where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select("x", "y")
-    as_print = {"shingles_key": "fp", "doc_id": "least"}
-    return _grouped(
-        prints.select("doc_id", F.col("shingles_key").alias("fp")), nodes.select("shingles_key", "doc_id").withColumnsRenamed(as_print), alike)
+    return pairs.join(side("x"), "x").join(side("y"), "y").where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select("x", "y")
+
+
+def prefix_pairs(keyed: DataFrame, placed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Candidates (x, y) among nodes of different ``root``; no pair of ``similarity`` is missing.
+
+    ``placed`` has shingles_key, text_key and root.  All sets are put in one order, and two
+    sets that share ``similarity`` of their union share a shingle among their first
+    ``size - ceil(similarity * size) + 1``.  Any order is right; shingles that are frequent
+    in a sample of nodes go last, so that templates and stock lines meet seldom.
+    """
+    spark = keyed.sparkSession
+    step = max(1, placed.count() // SAMPLE)
+    sample = placed.where(F.pmod(F.xxhash64("shingles_key"), F.lit(step)) == 0).select("shingles_key", "text_key")
+    counts = stage(_sets(keyed, sample, shingle).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1"))
+    frequent = most_frequent(counts, "n", TABLE).toArrow()  # at most 65,536 rows
+    values, ranks = frequent.column("s").to_numpy(), frequent.column("n").to_numpy()
+    order = np.argsort(values)
+    table = spark.sparkContext.broadcast((values[order], ranks[order]))
+
+    def prefixes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = shingle_sets(part.column(2), shingle)
+                sizes = sets.value_lengths().to_numpy()
+                row, tokens = np.repeat(np.arange(len(sizes)), sizes), sets.flatten().to_numpy()
+                by = np.lexsort((tokens, _ranks(table.value, tokens), row))
+                at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                keep = at <= np.repeat(sizes - np.ceil(similarity * sizes - 1e-9), sizes)
+                yield pa.record_batch(
+                    [part.column(1), pa.array(sizes.astype(np.int32)), list_array(pa.array(tokens[by][keep]), row[keep], len(sizes))],
+                    names=["text_key", "size", "tokens"])
+
+    prefixes = keyed.mapInArrow(prefixes_of, "text_key bigint, size int, tokens array<bigint>").dropDuplicates(["text_key"])
+    rows = (
+        prefixes.join(placed, "text_key")
+        .select("shingles_key", "root", "size", F.posexplode("tokens").alias("at", "token"))
+        .select("token", "shingles_key", "size", "at", "root")
+        .repartition("token")
+        .sortWithinPartitions("token")
+    )
+    return rows.mapInArrow(_meetings(similarity), "x bigint, y bigint").distinct()
+
+
+def _ranks(table: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> np.ndarray:
+    """The count of each token in a table sorted by token, else 0."""
+    values, counts = table
+    if not len(values):
+        return np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(values, tokens), len(values) - 1)
+    return np.where(values[at] == tokens, counts[at], 0)
+
+
+def _meetings(similarity: float):
+    """Pairs of nodes that share a token, from rows in the order of their tokens."""
+
+    def met(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        token, key, size, at, root = (np.concatenate(c) for c in zip(*parts, strict=True))
+        by = np.lexsort((size, token))
+        token, key, size, at, root = token[by], key[by], size[by].astype(np.int64), at[by].astype(np.int64), root[by]
+        group = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
+        opens = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        mixed = np.minimum.reduceat(root, opens) != np.maximum.reduceat(root, opens)
+        # of the larger set's sizes; nothing before the first shared token is shared, so places bound the overlap
+        reach = (1 + similarity) / similarity * (size - at)
+        most = np.floor(np.minimum(size / similarity, reach - size) + 1e-6).astype(np.int64)
+        line = group * (1 << 40) + size
+        i = np.arange(len(token))
+        ends = np.where(mixed[group], np.searchsorted(line, group * (1 << 40) + np.maximum(most, 0), side="right"), i + 1)
+        counts = np.maximum(ends - i - 1, 0)
+        done = np.concatenate([[0], np.cumsum(counts)])
+        start = 0
+        while done[start] < done[-1]:
+            stop = max(start + 1, int(np.searchsorted(done, done[start] + MEETINGS, side="right")) - 1)
+            own = counts[start:stop]
+            a = np.repeat(i[start:stop], own)
+            b = a + 1 + np.arange(len(a)) - np.repeat(done[start:stop] - done[start], own)
+            fits = (root[a] != root[b]) & (size[a] + size[b] <= reach[b] + 1e-6)
+            a, b = key[a[fits]], key[b[fits]]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["x", "y"])
+            start = stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy() for c in batch.columns]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            # a token's rows may go on in the next batch
+            if held and (cut or held[0][0][-1] != rows[0][-1]):
+                yield from met([*held, [c[:cut] for c in rows]])
+                held = []
+            elif cut:
+                yield from met([[c[:cut] for c in rows]])
+            held.append([c[cut:] for c in rows])
+        if held:
+            yield from met(held)
+
+    return run
 
 
 def _set_keys(texts: pa.Array, shingle: int) -> pa.Array:
