@@ -6,6 +6,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import FOLDER
 
@@ -246,6 +247,19 @@ def test_similar_documents_of_a_template(spark, words, fields):
     assert got == want
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(-(2**63), 2**63 - 1, n) for n in (0, 1, 63, 64, 65, 400, 501)]
+    sets += [np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 2**60, 90)]) for s in sets]
+    rows = simhash._parities(np.concatenate(sets), np.array([len(s) for s in sets])).to_pylist()
+    for x, px in zip(sets, rows, strict=True):
+        for y, py in zip(sets, rows, strict=True):
+            batch = pa.record_batch([pa.array([1]), pa.array([2]), pa.array([len(x)], pa.int32()), pa.array([len(y)], pa.int32()), pa.array([px]), pa.array([py])], names=list("xyabcd"))
+            shared = len(set(x.tolist()) & set(y.tolist()))
+            kept = next(simhash._near_parities(0.8)(iter([batch]))).num_rows
+            assert kept or shared < 0.8 * (len(x) + len(y) - shared)
+
+
 # 9 language
 def test_language(spark, texts, awkward, empty):
     found = language.op9_backoff(spark, FOLDER).collect()

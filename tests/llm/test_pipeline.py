@@ -1,5 +1,6 @@
 """The registered queries against SQL, and the pipeline's stages against plain rules."""
 
+import random
 import re
 
 import brute
@@ -7,6 +8,7 @@ import corpus_pipeline
 import oracle
 import pytest
 from brute import FOLDER
+from pyspark.sql import functions as F
 
 from tidegauge.llm.queries import llm_oracles, llm_queries
 
@@ -52,3 +54,21 @@ def test_awkward_rows(spark, awkward, empty, tmp_path):
                 # of two long copies and two equal rows one stays; texts without letters are gone
                 assert sorted((r.doc_id for r in docs.collect()), key=str) == [1, 5, 8, 9, None]
         assert docs.count() == (0 if start is empty else 5)
+
+
+def test_near_duplicates_of_the_least_similarity(spark):
+    rng = random.Random(80)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = []
+    for n in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(100)]
+        copy = list(words)
+        copy[rng.randrange(10, 40)], copy[rng.randrange(50, 90)] = "other", "another"
+        rows += [(10**6 + n, " ".join(words)), (2 * 10**6 + n, " ".join(copy))]
+    pairs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    apart = pairs.select("doc_id", "text", *[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema if f.name not in ("doc_id", "text")])
+    whole = corpus_pipeline.known_language(spark, docs.unionByName(apart), FOLDER)
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, whole, FOLDER).select("doc_id").collect()}
+    groups = brute.similar({r.doc_id: r.text for r in whole.collect()}, corpus_pipeline.SHINGLE, corpus_pipeline.SIMILARITY)
+    assert all(groups[2 * 10**6 + n] == 10**6 + n for n in range(60))
+    assert kept == set(groups.values())

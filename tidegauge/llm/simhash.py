@@ -402,18 +402,55 @@ def prefix_pairs(keyed: DataFrame, placed: DataFrame, shingle: int, similarity:
                 at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 keep = at <= np.repeat(sizes - np.ceil(similarity * sizes - 1e-9), sizes)
                 yield pa.record_batch(
-                    [part.column(1), pa.array(sizes.astype(np.int32)), list_array(pa.array(tokens[by][keep]), row[keep], len(sizes))],
-                    names=["text_key", "size", "tokens"])
+                    [part.column(1), pa.array(sizes.astype(np.int32)), _parities(tokens, sizes), list_array(pa.array(tokens[by][keep]), row[keep], len(sizes))],
+                    names=["text_key", "size", "parity", "tokens"])
 
-    prefixes = keyed.mapInArrow(prefixes_of, "text_key bigint, size int, tokens array<bigint>").dropDuplicates(["text_key"])
+    prefixes = keyed.mapInArrow(prefixes_of, "text_key bigint, size int, parity binary, tokens array<bigint>").dropDuplicates(["text_key"])
+    firsts = stage(prefixes.join(placed, "text_key").select("shingles_key", "root", "size", "parity", "tokens"))
     rows = (
-        prefixes.join(placed, "text_key")
-        .select("shingles_key", "root", "size", F.posexplode("tokens").alias("at", "token"))
+        firsts.select("shingles_key", "root", "size", F.posexplode("tokens").alias("at", "token"))
         .select("token", "shingles_key", "size", "at", "root")
         .repartition("token")
         .sortWithinPartitions("token")
     )
-    return rows.mapInArrow(_meetings(similarity), "x bigint, y bigint").distinct()
+    met = stage(rows.mapInArrow(_meetings(similarity), "x bigint, y bigint").distinct())
+    side = lambda c: firsts.select(F.col("shingles_key").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+    return met.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "px", "py").mapInArrow(_near_parities(similarity), "x bigint, y bigint")
+
+
+def _parities(tokens: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Each set's bits, about one a token: whether an odd number of tokens has that slot.
+
+    Two sets differ in at least as many tokens as bits; a half xor the other is the shorter row.
+    """
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    opens = np.concatenate([[0], np.cumsum(bits)])
+    slot = mix(tokens.view(np.uint64)) & np.repeat(bits - 1, sizes).astype(np.uint64)
+    odd = np.bincount(np.repeat(opens[:-1], sizes) + slot.astype(np.int64), minlength=opens[-1]) & 1
+    data = np.packbits(odd.astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((opens // 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _near_parities(similarity: float):
+    """Drops pairs whose bits differ in more places than similar sets may have tokens of one side."""
+
+    def folded(row: np.ndarray, size: int) -> np.ndarray:
+        while len(row) > size:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        return row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            apart = np.zeros(batch.num_rows, np.int64)
+            for i, (px, py) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                x, y = np.frombuffer(px, np.uint64), np.frombuffer(py, np.uint64)
+                least = min(len(x), len(y))
+                apart[i] = np.bitwise_count(folded(x, least) ^ folded(y, least)).sum()
+            near = pa.array(apart <= (1 - similarity) / (1 + similarity) * sizes + 1e-6)
+            yield pa.record_batch([batch.column(0).filter(near), batch.column(1).filter(near)], names=["x", "y"])
+
+    return run
 
 
 def _ranks(table: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> np.ndarray:
