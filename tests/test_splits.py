@@ -119,6 +119,33 @@ def test_similarity_split_is_disjoint_by_cluster(spark):
     assert len(got) == 200 and got["id"].is_unique and info["n_test"] <= info["test_budget"]
 
 
+def test_similarity_split_tries_the_cutoffs_in_order(spark, monkeypatch):
+    from tidegauge.plans import splits as plans
+
+    def registered(items):
+        monkeypatch.setattr(plans, "documents_as_sets", lambda t: items)
+        return plans.similarity_split(None).toPandas()
+
+    # pairs of ids share one of three tokens: a sound partition at the first cut-off
+    pairs = spark.range(400).select("id", F.array(*[F.concat(F.lit(f"x{k}-"), (F.col("id") / 2).cast("int")) for k in range(3)]).alias("tokens"))
+    got = registered(pairs)
+    assert len(got) == 400 and set(got["cutoff"]) == {0.40} and not got["degenerate"].any()
+    assert all(list(t) == [0.40] for t in got["tried"])
+    # too few sets for a sound partition at any cut-off
+    few = registered(pairs.filter("id < 40"))
+    assert few["degenerate"].all() and all(list(t) == S.K.CLUSTER_CUTOFFS for t in few["tried"])
+
+
+def test_written_pairs_give_the_same_clusters(spark):
+    from tidegauge.operators.pairwise import similar_pairs, token_sets
+
+    items = spark.range(120).select("id", F.array(*[F.concat(F.lit(f"x{k}-"), (F.col("id") / (2 + k)).cast("int")) for k in range(5)]).alias("tokens"))
+    sets = S.stage(token_sets(items, "tokens"))
+    low = S.stage(similar_pairs(sets, 0.25))
+    for cutoff in (0.25, 0.40, 0.65):
+        assert {tuple(r) for r in S.centroid_clusters(sets, cutoff).collect()} == {tuple(r) for r in S.centroid_clusters(sets, cutoff, low).collect()}
+
+
 def test_stratified_sample_size(spark, compounds):
     frame = spark.createDataFrame(compounds).withColumn("c", F.col("id") % 3)
     out = S.stratified_sample(frame, "id", "c", 60).toPandas()

@@ -296,16 +296,19 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: int =
 # ---------------------------------------------------------------- similarity clusters
 
 
-def centroid_clusters(sets: DataFrame, cutoff: float) -> DataFrame:
+def centroid_clusters(sets: DataFrame, cutoff: float, pairs: DataFrame | None = None) -> DataFrame:
     """Cluster of every row of ``token_sets``: ``pid``, ``n_members``, ``centroid``.
 
+    ``pairs`` are written ``similar_pairs`` of the same or a lower cut-off.
+
     The sequential rule visits sets by falling neighbour count (then id) and opens a
     cluster at each set not yet taken.  A set opens a cluster exactly when no earlier
     neighbour does, so rounds settle every set that precedes its open neighbours; each
     set then joins its earliest neighbouring centroid.
     """
     nodes = sets.select("pid", "n_members")
-    edges = stage(similar_pairs(sets, cutoff).select("left", "right"))
+    near = similar_pairs(sets, cutoff) if pairs is None else pairs.filter(F.col("similarity") >= cutoff - 1e-12)
+    edges = stage(near.select("left", "right"))
     links = stage(edges.select(F.col("left").alias("u"), F.col("right").alias("v")).unionByName(
         edges.select(F.col("right").alias("u"), F.col("left").alias("v"))))
     weight = links.join(nodes.select(F.col("pid").alias("v"), "n_members"), "v").groupBy("u").agg(F.sum("n_members").alias("_d"))
@@ -341,10 +344,10 @@ def centroid_clusters(sets: DataFrame, cutoff: float) -> DataFrame:
 
 def similarity_split(
     items: DataFrame, tokens: str, sets: DataFrame, cutoff: float, test_share: float = 0.15, val_share: float = 0.10,
-    cap_share: float = 0.10, seed: int = 42,
+    cap_share: float = 0.10, seed: int = 42, pairs: DataFrame | None = None,
 ) -> tuple[DataFrame, dict]:
     """Smallest clusters to test, then val, the rest to train: ``id``, ``split``, and figures."""
-    clusters = stage(centroid_clusters(sets, cutoff))
+    clusters = stage(centroid_clusters(sets, cutoff, pairs))
     groups = stage(clusters.groupBy("centroid").agg(F.sum("n_members").alias("size")).withColumn("h", seeded_hash(F.col("centroid"), seed)))
     n, n_clusters, largest = groups.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0))).first()
     test_budget, val_budget = math.ceil(test_share * n), math.ceil(val_share * n)
@@ -363,12 +366,20 @@ def similarity_split(
 
 
 def adaptive_similarity_split(items: DataFrame, tokens: str, cutoffs: Sequence[float] = tuple(K.CLUSTER_CUTOFFS), **options) -> tuple[DataFrame, dict]:
-    """First cut-off with a sound partition, else the least bad one, marked degenerate."""
+    """First cut-off with a sound partition, else the least bad one, marked degenerate.
+
+    Pairs are found at the first cut-off and, only if a lower one is reached, once more at
+    the lowest; the others filter them.
+    """
     best = None
     tried = []
     sets = token_sets(items, tokens)
+    pairs, found = None, math.inf
     for cutoff in cutoffs:
-        rows, info = similarity_split(items, tokens, sets, cutoff, **options)
+        if cutoff < found:
+            found = cutoff if pairs is None else min(cutoffs)
+            pairs = stage(similar_pairs(sets, found))
+        rows, info = similarity_split(items, tokens, sets, cutoff, pairs=pairs, **options)
         tried.append(cutoff)
         share, k, budget = info["largest_fraction"], info["n_clusters"], info["test_budget"]
         sound = share <= 0.50 and k >= 100 and info["n_val"] > 0 and info["n_test"] >= 0.8 * budget
