@@ -247,6 +247,12 @@ def test_similar_documents_of_a_template(spark, words, fields):
     assert got == want
 
 
+def test_stars_about_unlike_centres_lose_no_pair(spark):
+    rows = templates(40, 120, 8, 7)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), dense=1).collect()}
+    assert got == brute.similar(dict(rows), 5, 0.8)
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(3)
     sets = [rng.integers(-(2**63), 2**63 - 1, n) for n in (0, 1, 63, 64, 65, 400, 501)]

@@ -16,7 +16,9 @@
 5. Index values with over ``DENSE`` nodes would give quadratic candidates.  Nodes in or
    probing such a value meet on neighbours instead: fingerprints within radius r have a
    common value at most ceil(r / 2) and floor(r / 2) bits away, and one star about each
-   such value has the same components as all pairs.  Nothing is dropped.
+   such value has the same components as all pairs within the radius.  The pairs
+   themselves are not all kept: who filters links afterwards, as ``similar_documents``
+   does, needs another search for those about an unlike centre (``prefix_pairs``).
 
 Rows: null and empty texts have fingerprint zero and link with each other; null ids take
 part, and a component of null ids alone has a null id; repeated rows share a fingerprint;
