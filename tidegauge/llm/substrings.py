@@ -1,4 +1,6 @@
-"""Substring deduplication by a relative Lempel-Ziv parsing of every document.
+"""Substring deduplication by hashes of content-defined blocks and windows.
+
+This takes the place of a greedy relative Lempel-Ziv parse: no match is extended.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged.  A word goes when it lies in a window of
 ``length`` (50) words whose sequence also starts in a document with a smaller id.
@@ -9,7 +11,7 @@ and consecutive windows with one owner are a block.  The same words give the sam
 anywhere, and every window lies in exactly one block.
 
 1. Index: blocks whose owner k-gram occurs under two ids are kept, all others are literals.
-2. Greedy factors: a block whose whole span of words stands in a document with a smaller
+2. Factors: a block whose whole span of words stands in a document with a smaller
    id is a factor; all its windows go.  Neighbouring factors join to one long span.
 3. Factor boundaries: blocks where a factor starts or ends are matched only in part, so
    each of their windows is compared by itself with the windows of the first document of
