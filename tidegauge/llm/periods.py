@@ -124,6 +124,19 @@ def _matches(ids: np.ndarray, comes_again: np.ndarray, m: int, low: int, high: i
         yield start[which], shift + low
 
 
+def _gathered(matches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same matches in pieces of about ``LANES``."""
+    held, size = [], 0
+    for match in matches:
+        held.append(match)
+        size += len(match[0])
+        if size >= LANES:
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            held, size = [], 0
+    if size:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
 def _extend(prefix: Prefix, n: int, start: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last + 1 word of the stretch about each match, by bisection on hashes of runs."""
 
@@ -158,18 +171,16 @@ def find_runs(ids: np.ndarray, longest: int, least: int = LEAST) -> tuple[np.nda
     found, m = [], 2
     while m == 2 or 2 * (2 * m - 1) <= longest:
         low, high = (1 if m == 2 else 2 * m - 1), 4 * m - 2
-        for starts, distances in _matches(ids, comes_again, m, low, high):
+        for starts, distances in _gathered(_matches(ids, comes_again, m, low, high)):
             # neighbouring blocks with one distance lie in one stretch; the first seeds it
             by = np.lexsort((starts, distances))
             starts, distances = starts[by], distances[by]
             fresh = np.ones(len(starts), bool)
             fresh[1:] = (distances[1:] != distances[:-1]) | (starts[1:] != starts[:-1] + m)
-            starts, distances = starts[fresh], distances[fresh]
-            for at in range(0, len(starts), LANES):
-                distance = distances[at : at + LANES]
-                first, end = _extend(prefix, n, starts[at : at + LANES], distance)
-                whole = end - first >= np.maximum(least, 2 * distance)
-                found.append(np.unique(np.stack([first[whole], end[whole], distance[whole]]), axis=1))
+            start, distance = starts[fresh], distances[fresh]
+            first, end = _extend(prefix, n, start, distance)
+            whole = end - first >= np.maximum(least, 2 * distance)
+            found.append(np.unique(np.stack([first[whole], end[whole], distance[whole]]), axis=1))
         m *= 2
     if not found:
         return none, none, none
