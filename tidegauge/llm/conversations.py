@@ -26,7 +26,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,27 +38,23 @@ from tidegauge.session import stage
 PIECE = 1 << 16
 
 
-def running(df: DataFrame, key: str, order: Sequence[str], totals: Mapping[str, Column], add, none: Column) -> DataFrame:
-    """``df`` with the totals of all rows of ``key`` up to and with each row, along ``order``.
+def running(df: DataFrame, key: str, order: Sequence[str], columns: Mapping[str, str], total: Callable[[str], Column], add: Callable[[Column, Column], Column]) -> DataFrame:
+    """``df`` with totals of all rows of ``key`` up to and with each row, along ``order``.
 
-    ``totals`` maps a name to an aggregate of rows; ``add`` joins two totals, of which
-    ``none`` is the neutral one.  Rows are dealt into ranges of (key, order); each range's
-    total, one row a key and range, gives the next ones their start.
+    ``columns`` maps a new column to the one (of longs) that ``total`` aggregates; ``add``
+    joins two totals, and 0 adds nothing.  Rows are dealt into ranges of (key, order); each
+    range's total, one row a key and range, gives the next ones their start.
     """
     by = [F.col(c) for c in (key, *order)]
     dealt = stage(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
     ahead = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(key, "_part").agg(*[t.alias(f"_t_{n}") for n, t in totals.items()])
+    sums = dealt.groupBy(key, "_part").agg(*[total(c).alias(f"_t_{n}") for n, c in columns.items()])
     # a key has one row here for each range that it reaches into
-    starts = stage(sums.select(key, "_part", *[F.coalesce(_over(f"_t_{n}", t, ahead), none).alias(f"_o_{n}") for n, t in totals.items()]))
+    starts = stage(sums.select(key, "_part", *[F.coalesce(total(f"_t_{n}").over(ahead), F.lit(0).cast("long")).alias(f"_o_{n}") for n in columns]))
     inside = Window.partitionBy(key, "_part").orderBy(*by[1:]).rowsBetween(Window.unboundedPreceding, 0)
-    local = dealt.select("*", *[t.over(inside).alias(f"_l_{n}") for n, t in totals.items()])
+    local = dealt.select("*", *[total(c).over(inside).alias(f"_l_{n}") for n, c in columns.items()])
     joined = local.join(starts, [key, "_part"])
-    return joined.select(*df.columns, *[add(F.col(f"_o_{n}"), F.col(f"_l_{n}")).alias(n) for n in totals])
-
-
-def _over(column: str, total: Column, window) -> Column:
-    return (F.bit_xor(column) if "bit_xor" in str(total) else F.sum(column)).over(window)
+    return joined.select(*df.columns, *[add(F.col(f"_o_{n}"), F.col(f"_l_{n}")).alias(n) for n in columns])
 
 
 def numbered(turns: DataFrame) -> DataFrame:
@@ -73,7 +69,7 @@ def numbered(turns: DataFrame) -> DataFrame:
         F.xxhash64(F.lit(1), role, text).alias("a"), F.xxhash64(F.lit(2), role, text).alias("b"), F.char_length(text).cast("long").alias("n_chars"))
     order = ["later", "turn", "role", "a", "b"]
     counted = rows.groupBy("conv_id", *order).agg(F.count("*").alias("n"), F.min("n_chars").alias("n_chars"))
-    placed = running(counted, "conv_id", order, {"upto": F.sum("n")}, lambda x, y: x + y, F.lit(0).cast("long"))
+    placed = running(counted, "conv_id", order, {"upto": "n"}, F.sum, lambda x, y: x + y)
     return placed.select("conv_id", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("at"), "a", "b", "n_chars")
 
 
@@ -85,7 +81,7 @@ def members(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     """
     hashed = turns.select(
         "conv_id", (F.col("at") + 1).alias("depth"), F.xxhash64("a", "at").alias("a"), F.xxhash64("b", "at").alias("b"), "n_chars")
-    named = running(hashed, "conv_id", ["depth"], {"x": F.bit_xor("a"), "y": F.bit_xor("b")}, lambda x, y: x.bitwiseXOR(y), F.lit(0).cast("long"))
+    named = running(hashed, "conv_id", ["depth"], {"x": "a", "y": "b"}, F.bit_xor, lambda x, y: x.bitwiseXOR(y))
     name = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     zero = F.lit(0).cast("long")
     deep = named.select(
@@ -245,11 +241,15 @@ def op11_tree_contraction(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce("ends", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
 
 
-OP11_SQL = r"""
+#: the table of crc32 steps by byte, for SQL that has no crc32
+CRC_SQL = r"""
 WITH RECURSIVE crc(n, k, v) AS (
   SELECT n, 0, n FROM range(256) AS r(n) UNION ALL
   SELECT n, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM crc WHERE k < 8),
 steps AS (SELECT list(v ORDER BY n) AS t FROM crc WHERE k = 8),
+"""
+
+OP11_SQL = CRC_SQL + r"""
 told AS (
   SELECT conv_id, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS turn,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) - 1 AS p

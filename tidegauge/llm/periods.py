@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.bytewords import NOT_SPACE, Prefix, Words, find_words, list_array, mix, slices, spaced
+from tidegauge.llm.conversations import CRC_SQL
 
 LEAST = 12
 #: blocks of this many words and more are transformed
@@ -257,3 +258,31 @@ def op13_block_convolution(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"),
         F.col("best.period").alias("period"), F.expr("-best.less * 1000 div best.period").alias("exponent_milli"),
         sha(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+OP13_SQL = CRC_SQL + r"""
+told AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+drawn AS (
+  SELECT doc_id, w, len(w) AS n,
+         xor(list_reduce([4294967295] || [ord(c) FOR c IN string_split(doc_id::VARCHAR, '')], lambda s, c: xor(t[xor(s, c) % 256 + 1], s // 256)), 4294967295) AS h
+  FROM told, steps),
+starts AS (SELECT *, (h // 10) % greatest(n, 1) AS a, (h // 10) % 8 + 3 AS k FROM drawn),
+words AS (
+  SELECT doc_id, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[1 + a + (i - a) % (1 + (n - a) // k)] ELSE w[1 + i] END AS word
+  FROM starts, unnest(range(0, n)) AS s(i)),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+stretches AS (SELECT doc_id, q, min(i) AS low, max(i) + 1 + q AS high FROM islands GROUP BY doc_id, q, island),
+runs AS (
+  SELECT doc_id, low AS start, high - low AS length, min(q) AS period FROM stretches
+  WHERE high - low >= greatest(12, 2 * q) GROUP BY ALL),
+per_doc AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(start, length, period), (-length, start, period)) AS best,
+         string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+       1000 * best.length // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM told LEFT JOIN per_doc USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

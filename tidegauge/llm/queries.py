@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidegauge.llm import decontaminate, language, licenses, pieces, quality, secrets, sharding, simhash, substrings, tokens
+from tidegauge.llm import conversations, decontaminate, language, licenses, periods, pieces, quality, secrets, sharding, simhash, substrings, suffixes, tokens
 
 
 def llm_queries() -> dict:
@@ -18,9 +18,18 @@ def llm_queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_backoff": language.op9_backoff,
         "op10_offsets": pieces.op10_offsets,
+        "op11_tree_contraction": conversations.op11_tree_contraction,
+        "op12_suffix_array": suffixes.op12_suffix_array,
+        "op13_block_convolution": periods.op13_block_convolution,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op4_winnowing": decontaminate.OP4_SQL, "op7_relative_lz": substrings.OP7_SQL}
+    return {
+        "op4_winnowing": decontaminate.OP4_SQL,
+        "op7_relative_lz": substrings.OP7_SQL,
+        "op11_tree_contraction": conversations.OP11_SQL,
+        "op12_suffix_array": suffixes.OP12_SQL,
+        "op13_block_convolution": periods.OP13_SQL,
+    }

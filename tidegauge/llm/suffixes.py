@@ -358,7 +358,8 @@ def op12_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
 
 OP12_SQL = r"""
 WITH texts AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
-windows AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 100)) AS win FROM texts, unnest(range(0, len(x) // 2 - 49)) AS s(i) WHERE len(x) >= 100),
+pieces_of AS (SELECT doc_id, c, substr(x, 1000 * c + 1, 1098) AS piece FROM texts, unnest(range(0, len(x) // 1000 + 1)) AS s(c)),
+windows AS (SELECT doc_id, 500 * c + j AS i, md5(substr(piece, 2 * j + 1, 100)) AS win FROM pieces_of, unnest(range(0, least(500, len(piece) // 2 - 49))) AS s(j)),
 firsts AS (SELECT win, min(doc_id) AS origin FROM windows GROUP BY win),
 hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (win) WHERE origin < doc_id),
 marked AS (SELECT doc_id, i, coalesce(i - lag(i) OVER w > 50, true) AS opens FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
