@@ -24,7 +24,8 @@ Equality is that of bytes, but for two 64-bit hashes where windows meet across s
 Rows exchanged follow the number of anchors, about one in nine bytes that other documents
 share and one in nine hashes of the rest, never pairs of documents.
 
-Rows: null texts are empty; rows with a null id are kept whole and are no reference; rows
+Rows: a document is its id and a 32-bit hash of its text, so that repeated ids stay apart;
+null texts are empty; rows with a null id are kept whole and are no reference; rows
 with one id are compared with smaller ids only, so repeated rows keep each other; empty
 tables give empty results; other columns are ignored.
 """
@@ -48,7 +49,7 @@ GRAM = 16
 #: suffixes of a bucket sorted at a time
 SLICE = 1 << 15
 #: bits of the table that drops literals: sixteen a key, between these powers of two
-LEAST_BITS, MOST_BITS = 20, 28
+LEAST_BITS, MOST_BITS = 20, 27
 
 _LOW = np.uint64(0xFFFFFFFF)
 _NONE = np.zeros(0, np.int64)
@@ -233,7 +234,7 @@ def _bucket(length: int, slice_rows: int):
     def settle(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
         column = lambda c: rows.column(c).combine_chunks() if isinstance(rows.column(c), pa.ChunkedArray) else rows.column(c)
-        ids = column("doc_rank").to_numpy()
+        ids = column("doc_id").to_numpy()
         row, own, open_row, open_own, a, b = sort_slice(ids, column("before"), column("suffix"), length)
         opens = np.ones(len(row), bool)
         opens[1:] = (row[1:] != row[:-1]) | (own[1:] != own[:-1] + 1)
@@ -274,11 +275,12 @@ def duplicate_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sli
     shared = stage(grams.groupBy("owner").agg(F.count("*").alias("n")).where("n > 1").select("owner"))
     bits = min(max(LEAST_BITS, int(16 * shared.count()).bit_length()), MOST_BITS)
     table = docs.sparkSession.sparkContext.broadcast(bittable.collect_bits(shared, "owner", bits))
-    suffixes = stage(docs.select("doc_id", "text_hash", "text").mapInArrow(
-        _suffixes(table, length, gram), f"doc_id {id_type}, text_hash bigint, lows array<int>, before binary, suffix binary"))
-    buckets = suffixes.withColumn("doc_rank", F.col("doc_id").cast("long")).repartitionByRange("suffix", "doc_rank").sortWithinPartitions("suffix", "doc_rank")
+    # not written first: the scan is run once more for the sample of splitters, which costs less than a copy on disk
+    suffixes = docs.select("doc_id", "text_hash", "text").mapInArrow(
+        _suffixes(table, length, gram), f"doc_id {id_type}, text_hash int, lows array<int>, before binary, suffix binary")
+    buckets = suffixes.repartitionByRange("suffix", "doc_id").sortWithinPartitions("suffix", "doc_id")
     found = stage(buckets.mapInArrow(
-        _bucket(length, slice_rows), f"doc_id {id_type}, text_hash bigint, lows array<int>, low int, high int, a bigint, b bigint"))
+        _bucket(length, slice_rows), f"doc_id {id_type}, text_hash int, lows array<int>, low int, high int, a bigint, b bigint"))
     open_ended = found.where(F.col("a").isNotNull())
     first = stage(open_ended.groupBy("a", "b").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").drop("x"))
     across = open_ended.join(first, ["a", "b"]).where(F.col("m") < F.col("doc_id"))
@@ -335,17 +337,17 @@ def remove_duplicates(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     held = docs.where(wanted("text_hash")).join(grouped, ["doc_id", "text_hash"])
     return held.select("doc_id", "text_hash", "text", "starts", "ends").mapInArrow(
-        _cut, f"doc_id {id_type}, text_hash bigint, n_removed bigint, n_spans bigint, kept binary")
+        _cut, f"doc_id {id_type}, text_hash int, n_removed bigint, n_spans bigint, kept binary")
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, slice_rows: int = SLICE) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    own = docs.select("doc_id", F.hash("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     named = own.where(F.col("doc_id").isNotNull())
     left = remove_duplicates(named, duplicate_bytes(named, length, gram, slice_rows)).select(
         "doc_id", "text_hash", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha_left")).dropDuplicates(["doc_id", "text_hash"])
-    base = own.mapInArrow(_whole, f"doc_id {id_type}, text_hash bigint, n_bytes bigint, sha string")
+    base = own.mapInArrow(_whole, f"doc_id {id_type}, text_hash int, n_bytes bigint, sha string")
     none = F.lit(0).cast("long")
     return base.join(left, ["doc_id", "text_hash"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
