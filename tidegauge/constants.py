@@ -113,3 +113,13 @@ QUALIFIERS = ["=", ">", "<", ">=", "<="]
 NET_PENALTIES = [1e-4, 1e-3, 1e-2, 1e-1, 1.0]
 NET_INVERSES = [0.01, 0.1, 1.0, 10.0, 100.0]
 NET_MIXES = [0.1, 0.5, 0.9]
+
+# Grids of the boosted trees (depths, child weights, L1 penalties) and their rounds.
+TREE_DEPTHS = [4, 6, 8]
+TREE_CHILD_WEIGHTS = [1.0, 5.0, 10.0]
+TREE_ALPHAS = [0.0, 0.1]
+TREE_ROUNDS, TREE_PATIENCE = 2000, 50
+STACK_DEPTHS = [3, 4, 5]
+STACK_CHILD_WEIGHTS = [1.0, 5.0]
+STACK_ALPHAS = [0.0, 0.1]
+STACK_ROUNDS = 500

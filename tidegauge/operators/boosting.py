@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators.ordered import quantiles
-from tidegauge.operators.stats import _mix
-from tidegauge.session import new_folder
+from tidegauge.operators.stats import _mix, weighted_auc
+from tidegauge.session import new_folder, stage
 
 #: gradients and weights are multiples of 2^-20
 _SCALE = float(1 << 20)
@@ -412,3 +412,83 @@ def fit(rows: DataFrame, cells: Sequence[Cell], how: Rounds = Rounds()) -> Fitte
         table, path = _replace(table.mapInArrow(_advance(trees, keep, how.rate, max(cells[c].depth for c in trees)), schema), path)
     predictions = table.mapInArrow(_scored(cells, keep, names), f"id {ids}, fold int, w double, labels array<double>, cell int, p double")
     return Fitted(predictions, [int(b) for b in best], [float(x) for x in losses], history)
+
+
+def grid_cells(settings: Sequence[tuple[int, float, float]], held: Sequence[int], label: int = 0, loss: str = "squared") -> list[Cell]:
+    """A cell for each (depth, child weight, alpha) and held-out fold, settings first."""
+    return [Cell(h, d, w, a, label, loss) for d, w, a in settings for h in held]
+
+
+def name_of(cell: Cell) -> str:
+    return f"depth={cell.depth},child_weight={cell.child_weight:g},alpha={cell.alpha:g}"
+
+
+def cross_validated(rows: DataFrame, settings: Sequence[tuple[int, float, float]], folds: Sequence[int], how: Rounds = Rounds()) -> DataFrame:  # noqa: B008
+    """The whole grid: one row for each row and setting, predicted out of its fold.
+
+    id, fold, y, w, config, p; ``rounds``: the median best round of the setting's folds;
+    ``score``: the mean of its folds' weighted RMSE; ``best``: the setting of least score,
+    the first one of equal scores.
+    """
+    cells = grid_cells(settings, folds)
+    done = fit(rows, cells, how)
+    rmse = np.sqrt(np.array(done.losses)).reshape(len(settings), len(folds)).mean(axis=1)
+    rounds = np.median(np.array(done.rounds).reshape(len(settings), len(folds)), axis=1)
+    lookup = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.floor(F.col("cell") / len(folds)).cast("int") + 1)
+    return done.predictions.select(
+        "id", "fold", F.col("labels")[0].alias("y"), "w", lookup([name_of(c) for c in cells[:: len(folds)]]).alias("config"), "p",
+        lookup([float(r) for r in rounds]).alias("rounds"), lookup([float(s) for s in rmse]).alias("score"),
+        lookup([i == int(np.argmin(rmse)) for i in range(len(settings))]).alias("best"))
+
+
+def own_predictions(done: Fitted, cells: Sequence[Cell], label: int, final: int = -1) -> DataFrame:
+    """id, p of one label: out of fold for folds from 0 on, by the cell that holds ``final`` out for the others."""
+    held = F.element_at(F.array(*[F.lit(c.held) for c in cells]), F.col("cell") + 1)
+    of = F.element_at(F.array(*[F.lit(c.label) for c in cells]), F.col("cell") + 1)
+    return done.predictions.where((of == label) & (held == F.greatest("fold", F.lit(final)))).select("id", "p")
+
+
+@dataclass
+class Stacked:
+    """``scores``: mean out-of-fold loss of each setting; ``predictions``: id, fold, y, w, covered, base, p."""
+
+    scores: dict[str, float]
+    best: str
+    rounds: int
+    predictions: DataFrame
+
+
+def stack(
+    rows: DataFrame, first: tuple[int, float, float], settings: Sequence[tuple[int, float, float]], folds: Sequence[int],
+    base: Rounds = Rounds(), top: Rounds = Rounds(),  # noqa: B008
+) -> Stacked:
+    """A classifier over the predictions of a regression and of a classification.
+
+    ``rows`` has id, fold, w, features and labels [value, class]; a value may be NaN, and
+    its row then has the mean value for a prediction (``covered`` is false).  Folds from 0
+    on are trained on, fold -1 stops the final models, fold -2 is only scored.
+
+    Level 0 fits both models once a fold and once for the rows outside the folds, all in one
+    batch.  A row of a fold has the predictions of the models that did not see that fold,
+    and level 1 holds the same folds out, so no row is part of a model that feeds it or
+    judges it.
+    """
+    held = [*folds, -1]
+    cells = [*grid_cells([first], held, 0, "squared"), *grid_cells([first], held, 1, "logistic")]
+    done = fit(rows, cells, base)
+    value, chance = own_predictions(done, cells, 0), own_predictions(done, cells, 1)
+    known = ~F.isnan(F.col("labels")[0])
+    mean = rows.where((F.col("fold") >= 0) & known).agg(F.avg(F.col("labels")[0]).alias("m")).first()["m"] or 0.0
+    fed = stage(rows.select("id", "fold", "w", F.col("labels")[1].alias("y"), known.alias("covered"))
+                .join(value.withColumnsRenamed({"p": "value"}), "id").join(chance.withColumnsRenamed({"p": "base"}), "id"))
+    level = fed.select("id", "fold", "w", F.array("y").alias("labels"), F.array(F.when(F.col("covered"), F.col("value")).otherwise(mean), "base").alias("features"))
+    top_cells = grid_cells(settings, held, 0, "logistic")
+    over = fit(level, top_cells, top)
+    found = over.predictions.withColumn("config", F.floor(F.col("cell") / len(held)).cast("int"))
+    auc = weighted_auc(stage(found.where("fold >= 0").select("config", "fold", F.col("labels")[0].alias("y"), "p", "w")), ["config", "fold"], "y", "p", "w")
+    mean_auc = {r["config"]: r["a"] for r in auc.groupBy("config").agg(F.avg("roc_auc").alias("a")).collect()}  # one row a setting
+    win = min(mean_auc, key=lambda c: (-mean_auc[c], c))
+    names = [name_of(c) for c in top_cells[:: len(held)]]
+    own = own_predictions(Fitted(over.predictions.where(F.floor(F.col("cell") / len(held)) == win), over.rounds, over.losses), top_cells, 0)
+    return Stacked({names[c]: a for c, a in sorted(mean_auc.items())}, names[win], over.rounds[win * len(held) + len(folds)],
+                   fed.drop("value").join(own, "id"))

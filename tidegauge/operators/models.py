@@ -180,21 +180,6 @@ def ridge_stability(
     return coefs.groupBy("feature").agg((F.avg(F.abs("beta")) / (F.stddev_pop("beta") + 1e-8)).alias("stability"))
 
 
-def logistic_stability(df: DataFrame, id_col: str, vector: str, label: str, resamples: int = 50, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """The same score from logistic fits; each fit is one distributed training job."""
-    from tidegauge.functions.expressions import seeded_uniform
-
-    base = stage(df.select(id_col, array_to_vector(F.col(vector).cast("array<double>")).alias("v"), F.col(label).cast("double").alias("y")))
-    coefs = []
-    for r in range(resamples):
-        part = base.filter(seeded_uniform(F.col(id_col), seed + r) < share)
-        model = LogisticRegression(featuresCol="v", labelCol="y", regParam=1e-2, elasticNetParam=0.0, maxIter=100).fit(part)
-        coefs.append(model.coefficients.toArray())
-    c = np.array(coefs)
-    score = np.abs(c).mean(0) / (c.std(0) + 1e-8)
-    return df.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(score)], "feature int, stability double")
-
-
 def consensus(picked: DataFrame, least: int) -> DataFrame:
     """Features chosen in at least ``least`` folds; ``picked`` has one line per choice."""
     return picked.groupBy("feature").agg(F.countDistinct("fold").alias("n_folds")).filter(F.col("n_folds") >= least)
@@ -273,14 +258,6 @@ def calibration_report(val: DataFrame, test: DataFrame, y: str, p: str, w: str)
     return attach_scalars(table, best).withColumn("best", F.col("method") == F.col("_b")).drop("_b")
 
 
-def stack_fit(train: DataFrame, test: DataFrame, inputs: Sequence[str], y: str, w: str) -> DataFrame:
-    """Logistic model over earlier predictions; adds ``p_stacked`` to ``test``."""
-    vec = lambda df: df.withColumn("_f", array_to_vector(F.array(*[F.col(c).cast("double") for c in inputs])))
-    model = LogisticRegression(featuresCol="_f", labelCol="_y", weightCol=w, regParam=1e-3, maxIter=100).fit(
-        vec(train).withColumn("_y", F.col(y).cast("double")))
-    return model.transform(vec(test)).withColumn("p_stacked", vector_to_array("probability")[1]).drop("_f", "rawPrediction", "probability", "prediction")
-
-
 # ---------------------------------------------------------------- domain gate, verdicts
 
 

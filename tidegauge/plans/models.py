@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tidegauge import constants as K
+from tidegauge.operators import boosting as B
 from tidegauge.operators import models as M
 from tidegauge.operators import pairwise as P
 from tidegauge.operators import splits as SP
 from tidegauge.operators import stats as S
 from tidegauge.operators.ordered import attach_scalars
 from tidegauge.plans.pairwise import vectors
-from tidegauge.plans.standins import hash_sql, pred_sql, predictions, split_rows, split_sql
+from tidegauge.plans.standins import compounds, hash_sql, measurements, pred_sql, predictions, split_rows, split_sql
 from tidegauge.registry import query
+from tidegauge.session import stage
 
 LONG_SQL = "u AS (SELECT vec_id AS id, label, unnest(generate_series(0, 63))::INT AS feature, unnest(embedding)::DOUBLE AS x FROM embeddings), bits AS (SELECT id, feature, label >= 5 AS y, x > 0 AS b FROM u)"
 
@@ -123,11 +125,22 @@ def logistic_grid(t):
     return scores.select("config", F.round(-F.col("score"), 6).alias("roc_auc"), (F.col("config") == best["config"]).alias("best"))
 
 
-@query("M12 D12")
+def compound_rows(t):
+    """One row a compound: id, fold, weight, mean activity of its measurements, its features."""
+    seen = measurements(t, "compound_id", "price", "assay_confidence").groupBy("compound_id").agg(
+        F.avg(9 - F.log10("price")).alias("activity"), F.count("*").alias("n"), F.avg("assay_confidence").alias("confidence"))
+    features = F.array(*[F.col(c).cast("double") for c in ("size", "weight", "n", "confidence")], (F.col("compound_id") % 5).cast("double"))
+    return compounds(t, "compound_id", "weight", "size").join(seen, "compound_id").select(
+        F.col("compound_id").alias("id"), F.log1p("n").alias("w"), "activity",
+        F.xxhash64("compound_id").alias("draw"), features.alias("features"))
+
+
+@query("M12 W11 D12")
 def boosted_trees_oof(t):
-    grid = [("depth=3", {"maxDepth": 3})]
-    _, best, oof = M.grid_search(training_rows(t), grid, lambda s: GBTRegressor(labelCol="y", weightCol="w", maxIter=5, seed=42, **s))
-    return oof.withColumn("config", F.lit(best["config"]))
+    """The whole grid, 18 settings by 5 folds, each fitted to its own best round."""
+    rows = compound_rows(t).select("id", F.pmod("draw", F.lit(5)).cast("int").alias("fold"), "w", F.array("activity").alias("labels"), "features")
+    settings = [(d, w, a) for d in K.TREE_DEPTHS for w in K.TREE_CHILD_WEIGHTS for a in K.TREE_ALPHAS]
+    return B.cross_validated(stage(rows), settings, range(5), B.Rounds(most=K.TREE_ROUNDS, patience=K.TREE_PATIENCE))
 
 
 @query("M16")
@@ -138,16 +151,25 @@ def calibration_repair(t):
 
 @query("M14 J18 J19")
 def stacking(t):
-    rows = predictions(t, "id", "split", "p", "y", "w", "y_pred")
-    mean = rows.agg(F.avg("y_pred").alias("_mean"))
-    known = F.when(F.col("id") % 3 != 0, F.col("y_pred"))
-    filled = attach_scalars(rows, mean).withColumns({"reg": F.coalesce(known, F.col("_mean")), "covered": known.isNotNull()}).drop("_mean")
-    train, test = filled.filter("split = 'train'"), filled.filter("split = 'test'")
-    out = M.stack_fit(train, test, ["reg", "p"], "y", "w")
-    base = S.weighted_auc(out, [], "y", "p", "w").select(F.col("roc_auc").alias("base_auc"))
-    new = S.weighted_auc(out, [], "y", "p_stacked", "w").select(F.col("roc_auc").alias("stacked_auc"))
-    return attach_scalars(attach_scalars(out.agg(F.avg(F.col("covered").cast("int")).alias("coverage")), base), new).withColumn(
-        "lift", F.col("stacked_auc") - F.col("base_auc"))
+    """A tree grid over out-of-fold predictions, and its lift over the classifier alone."""
+    fold = F.expr("CASE WHEN pmod(draw, 20) < 14 THEN cast(pmod(draw, 20) % 5 AS int) WHEN pmod(draw, 20) < 17 THEN -1 ELSE -2 END")
+    value = F.when(F.col("id") % 9 < 7, F.col("activity")).otherwise(F.lit(float("nan")))
+    chance = 1 / (1 + F.exp(5 - F.col("activity")))
+    active = (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1000)) / 1000 < chance).cast("double")
+    rows = stage(compound_rows(t).select("id", fold.alias("fold"), "w", F.array(value, active).alias("labels"), "features"))
+    settings = [(d, w, a) for d in K.STACK_DEPTHS for w in K.STACK_CHILD_WEIGHTS for a in K.STACK_ALPHAS]
+    done = B.stack(rows, (K.TREE_DEPTHS[0], 1.0, 0.0), settings, range(5), B.Rounds(most=K.TREE_ROUNDS, patience=K.TREE_PATIENCE),
+                   B.Rounds(most=K.STACK_ROUNDS, patience=K.TREE_PATIENCE, column_share=1.0))
+    out = stage(done.predictions)
+    test = out.where("fold = -2")
+    cut = S.youden(out.where("fold = -1"), [], "y", "p", "w").select("threshold")
+    base = S.weighted_auc(test, [], "y", "base", "w").select(F.col("roc_auc").alias("base_auc"))
+    tuned = S.classification_metrics(attach_scalars(test, cut), ["threshold"], "y", "p", "w", F.col("threshold")).select("threshold", F.col("mcc").alias("tuned_mcc"))
+    scores = F.array(*[F.struct(F.lit(c).alias("config"), F.lit(a).alias("cv_auc")) for c, a in done.scores.items()])
+    share = out.groupBy().agg(*[F.avg(F.when(F.expr(f"fold {test}"), F.col("covered").cast("int"))).alias(f"coverage_{n}") for n, test in (("train", ">= 0"), ("val", "= -1"), ("test", "= -2"))])
+    joined = attach_scalars(attach_scalars(S.weighted_auc(test, [], "y", "p", "w").select(F.col("roc_auc").alias("stacked_auc")), base), share)
+    return attach_scalars(joined, tuned).select(
+        "*", (F.col("stacked_auc") - F.col("base_auc")).alias("lift"), F.lit(done.best).alias("config"), F.lit(done.rounds).alias("rounds"), scores.alias("settings"))
 
 
 def _seed_sql(seed):
