@@ -123,3 +123,7 @@ STACK_DEPTHS = [3, 4, 5]
 STACK_CHILD_WEIGHTS = [1.0, 5.0]
 STACK_ALPHAS = [0.0, 0.1]
 STACK_ROUNDS = 500
+
+# Seeds a split is validated with, and how far its figures may spread over them.
+VALIDATION_SEEDS = [42, 43, 44]
+SPREAD_TEST_SIZE, SPREAD_KS, SPREAD_HEALTH = 0.10, 0.10, 15

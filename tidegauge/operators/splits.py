@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,8 @@ from tidegauge.operators.dedup import every_kth, linspace_hit, quantile_bins
 from tidegauge.operators.joins import edge_votes, route
 from tidegauge.operators.ordered import at_quantile, ladder, positions, running_totals
 from tidegauge.operators.pairwise import similar_pairs, token_sets, with_set_key
+from tidegauge.operators.rules import split_health
+from tidegauge.operators.stats import two_sample_ks
 from tidegauge.session import stage
 
 
@@ -398,3 +400,62 @@ def with_folds(assigned: DataFrame, folds: int = 5) -> DataFrame:
     return assigned.select("*", lines).withColumn("cv_split", own)
 
 
+
+
+def split_diagnostics(assigned: DataFrame, keys: Sequence[str], id_col: str, group: str, value: str, name: str) -> DataFrame:
+    """One row of measured figures for each split in a long table of assignments.
+
+    ``keys`` tell the splits apart and ``name`` holds a split's strategy.  ``digest`` depends
+    on which id is in which subset, and not on the order or the partitions of the rows.
+    """
+    keys = list(keys)
+    of = lambda s: F.col("split") == s
+    active = lambda s: 100.0 * F.avg(F.when(of(s), (F.col(value) >= K.ACTIVE_FROM).cast("double")))
+    sizes = assigned.groupBy(*keys).agg(
+        *[F.count_if(of(s)).alias(f"n_{s}") for s in ("train", "val", "test")], F.round(F.abs(active("train") - active("test")), 1).alias("drift_pp"),
+        F.sum(F.xxhash64(F.col(id_col), F.col("split")).cast("decimal(38,0)")).alias("digest"))
+    sides = assigned.groupBy(*keys, group).agg(F.bool_or(of("train")).alias("_train"), F.bool_or(of("test")).alias("_test"))
+    groups = sides.groupBy(*keys).agg(F.count_if("_test").alias("n_groups_test"), F.count_if(F.col("_train") & F.col("_test")).alias("group_overlap"))
+    twice = assigned.groupBy(*keys, id_col).agg(F.bool_or(of("train")).alias("_train"), F.bool_or(of("test")).alias("_test"))
+    leaks = twice.groupBy(*keys).agg(F.count_if(F.col("_train") & F.col("_test")).alias("id_overlap"))
+    ks = two_sample_ks(assigned.filter(F.col("split").isin("train", "test")), keys, value, of("train")).select(*keys, "ks_stat", "ks_p")
+    joined = sizes.join(groups, keys).join(leaks, keys).join(ks, keys, "left")
+    diversity = F.col("n_groups_test") / F.nullif(F.col("n_test"), F.lit(0))
+    health = split_health(F.col(name), F.col("id_overlap") > 0, F.col("drift_pp"), F.col("n_val"), F.col("ks_stat"), F.col("ks_p"),
+                          F.lit(None).cast("double"), diversity, F.lit(None).cast("double"))
+    return joined.select("*", diversity.alias("diversity"), *[c.alias(n) for n, c in health.items()])
+
+
+def validate_splits(
+    rows: DataFrame, strategies: dict[str, Callable[[DataFrame, int], DataFrame]], id_col: str, group: str, value: str,
+    seeds: Sequence[int] = tuple(K.VALIDATION_SEEDS),
+) -> DataFrame:
+    """One verdict row a strategy: is it deterministic, and do its figures hold over seeds?
+
+    A strategy takes (rows, seed) and adds ``split``.  With the first seed it runs a second
+    time on rows that lie in other partitions and another order; both must put the same ids
+    in the same subsets.  Then test size (share of the largest), KS distance and health may
+    spread over the seeds by the limits in ``constants``.
+    """
+    parts = []
+    for name, split in strategies.items():
+        for run, seed in [*((0, s) for s in seeds), (1, seeds[0])]:
+            own = rows if run == 0 else rows.repartition(7, F.xxhash64(id_col, F.lit("again"))).sortWithinPartitions(F.desc(id_col))
+            done = split(own, seed).select(id_col, group, value, "split")
+            parts.append(done.select(F.lit(name).alias("strategy"), F.lit(seed).alias("seed"), F.lit(run).alias("run"), id_col, group, value, "split"))
+    long = parts[0]
+    for part in parts[1:]:
+        long = long.unionByName(part)
+    figures = stage(split_diagnostics(stage(long), ["strategy", "seed", "run"], id_col, group, value, "strategy"))
+    once = F.col("run") == 0
+    spread = lambda c: F.max(F.when(once, F.col(c))) - F.min(F.when(once, F.col(c)))
+    again = F.when(F.col("seed") == seeds[0], F.col("digest"))
+    table = figures.groupBy("strategy").agg(
+        (F.min(again) == F.max(again)).alias("deterministic"), F.count_if(once).alias("n_seeds"),
+        (spread("n_test") / F.nullif(F.max(F.when(once, F.col("n_test"))), F.lit(0))).alias("test_size_spread"),
+        spread("ks_stat").alias("ks_spread"), spread("health_score").alias("health_spread"), F.max("id_overlap").alias("id_overlap"))
+    issues = F.filter(F.array(
+        F.when(~F.col("deterministic"), "two runs differ"), F.when(F.col("id_overlap") > 0, "ids in train and test"),
+        F.when(F.col("test_size_spread") > K.SPREAD_TEST_SIZE, "test size"), F.when(F.col("ks_spread") > K.SPREAD_KS, "ks"),
+        F.when(F.col("health_spread") > K.SPREAD_HEALTH, "health")), lambda x: x.isNotNull())
+    return table.select("*", issues.alias("issues"), (F.size(issues) == 0).alias("passed"))

@@ -20,7 +20,8 @@ def two_sample_ks(df: DataFrame, keys: Sequence[str], value: str, in_first: Colu
     steps = held.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(
         F.sum(in_first.cast("long")).alias("a"), F.sum((~in_first).cast("long")).alias("b"))
     run = running_totals(steps, keys, "v", ["a", "b"])
-    gap = F.abs(F.col("cum_a") / F.col("all_a") - F.col("cum_b") / F.col("all_b"))
+    none = F.lit(0).cast("long")  # one empty side has no distance
+    gap = F.abs(F.col("cum_a") / F.nullif("all_a", none) - F.col("cum_b") / F.nullif("all_b", none))
     per_key = run.groupBy(*keys).agg(
         F.max(gap).alias("ks_stat"), F.max("all_a").alias("n_a"), F.max("all_b").alias("n_b"))
     lam = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))) * F.col("ks_stat")
