@@ -18,7 +18,7 @@
    common value at most ceil(r / 2) and floor(r / 2) bits away, and one star about each
    such value has the same components as all pairs within the radius.  The pairs
    themselves are not all kept: who filters links afterwards, as ``similar_documents``
-   does, needs another search for those about an unlike centre (``prefix_pairs``).
+   does, needs another search for those about an unlike centre (``prefix_links``).
 
 Rows: null and empty texts have fingerprint zero and link with each other; null ids take
 part, and a component of null ids alone has a null id; repeated rows share a fingerprint;
@@ -50,6 +50,8 @@ DENSE = 48
 TABLE = 1 << 16
 #: nodes whose shingles are counted for the order of prefixes
 SAMPLE = 2048
+#: rounds in which nodes of a token meet its hub before the whole search
+ROUNDS = 2
 #: pairs of rows compared at a time
 MEETINGS = 1 << 20
 
@@ -315,13 +317,15 @@ def near_duplicates(docs: DataFrame, shingle: int | None = SHINGLE, radius: int
     return _grouped(prints, nodes, links(nodes, radius, parts, dense))
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, parts: int = PARTS, dense: int = DENSE) -> DataFrame:
+def similar_documents(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, parts: int = PARTS, dense: int = DENSE, rounds: int = ROUNDS,
+) -> DataFrame:
     """Components of all pairs that share ``similarity`` of their distinct shingles (Jaccard).
 
     Two searches give candidates, and both confirm them on the texts.  Word-set
     fingerprints within ``radius`` are met through the first documents of both, and each
     text is met with the first one of its own fingerprint: this joins most copies, but not
-    all, for a fingerprint says too little about shingles.  ``prefix_pairs`` then finds
+    all, for a fingerprint says too little about shingles.  ``prefix_links`` then finds
     every pair that is still in two components, without any fingerprint.
     """
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), F.col("text").cast("string").alias("text"))
@@ -347,8 +351,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     alike = stage(_confirmed(keyed, nodes, pairs, shingle, similarity))
     joined = components(alike).withColumnsRenamed({"node": "shingles_key"})
     placed = stage(nodes.join(joined, "shingles_key", "left").select("shingles_key", "text_key", F.coalesce("root", "shingles_key").alias("root")))
-    apart = stage(prefix_pairs(keyed, placed, shingle, similarity))
-    alike = alike.unionByName(_confirmed(keyed, nodes, apart, shingle, similarity))
+    alike = alike.unionByName(prefix_links(keyed, nodes, placed, shingle, similarity, rounds))
     as_print = {"shingles_key": "fp", "doc_id": "least"}
     return _grouped(
         prints.select("doc_id", F.col("shingles_key").alias("fp")), nodes.select("shingles_key", "doc_id").withColumnsRenamed(as_print), alike)
@@ -377,13 +380,73 @@ def _confirmed(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: in
     return pairs.join(side("x"), "x").join(side("y"), "y").where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select("x", "y")
 
 
-def prefix_pairs(keyed: DataFrame, placed: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Candidates (x, y) among nodes of different ``root``; no pair of ``similarity`` is missing.
+def prefix_links(keyed: DataFrame, nodes: DataFrame, placed: DataFrame, shingle: int, similarity: float, rounds: int = ROUNDS) -> DataFrame:
+    """Confirmed links (x, y) that, with the given roots, join all pairs of ``similarity``.
 
     ``placed`` has shingles_key, text_key and root.  All sets are put in one order, and two
-    sets that share ``similarity`` of their union share a shingle among their first
-    ``size - ceil(similarity * size) + 1``.  Any order is right; shingles that are frequent
-    in a sample of nodes go last, so that templates and stock lines meet seldom.
+    sets that share ``similarity`` of their union share a token among their first
+    ``size - ceil(similarity * size) + 1``.  Only tokens that nodes of two roots hold are
+    kept.  First, in each of ``rounds`` rounds, the nodes of a token meet one hub of it:
+    one candidate a row at most, and what is confirmed shares a root from then on.  So a
+    group of near copies ends as a star or a few, and the last search, which is whole,
+    meets pairs of nodes only where their roots still differ.
+    """
+    firsts = stage(_prefixes(keyed, placed, shingle, similarity))
+    side = lambda c: firsts.select(F.col("shingles_key").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+
+    def near(met: DataFrame) -> DataFrame:
+        both = met.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "px", "py")
+        return stage(both.mapInArrow(_near_parities(similarity), "x bigint, y bigint"))
+
+    rows = _contested(firsts.select("shingles_key", "root", "size", F.posexplode("tokens").alias("at", "token")))
+    found = None
+    for r in range(rounds):
+        hubs = rows.join(_hub_order(rows, r), "shingles_key").groupBy("token").agg(F.max(F.struct("order", "shingles_key", "root", "size")).alias("hub"))
+        met = (
+            rows.join(stage(hubs), "token")
+            .where("root <> hub.root")
+            .where(F.least("size", "hub.size") >= similarity * F.greatest("size", "hub.size") - 1e-6)
+            .select(F.col("shingles_key").alias("x"), F.col("hub.shingles_key").alias("y"))
+            .distinct()
+        )
+        linked = stage(_confirmed(keyed, nodes, near(stage(met)), shingle, similarity))
+        found = linked if found is None else found.unionByName(linked)
+        rows = _contested(_rerooted(rows, linked))
+    ordered = rows.select("token", "shingles_key", "size", "at", "root").repartition("token").sortWithinPartitions("token")
+    met = stage(ordered.mapInArrow(_meetings(similarity), "x bigint, y bigint").distinct())
+    last = _confirmed(keyed, nodes, near(met), shingle, similarity)
+    return last if found is None else found.unionByName(last)
+
+
+def _contested(rows: DataFrame) -> DataFrame:
+    """The written rows of tokens that nodes of more than one root hold."""
+    tokens = stage(rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token"))
+    return stage(rows.join(tokens, "token", "left_semi"))
+
+
+def _hub_order(rows: DataFrame, r: int) -> DataFrame:
+    """Each node's place among the hubs of its tokens.
+
+    First by the share of its shingles that others hold too, for the original of a group
+    has no edits of its own; then by a hash of the round, so that others take turns.
+    """
+    order = F.count("*") / F.first("size") if r == 0 else F.xxhash64("shingles_key", F.lit(r)).cast("double")
+    return rows.groupBy("shingles_key").agg(order.alias("order"))
+
+
+def _rerooted(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """``rows`` with the roots that ``linked`` pairs (x, y) of nodes have in common made one."""
+    roots = stage(rows.select("shingles_key", "root").distinct())
+    of = lambda c: roots.select(F.col("shingles_key").alias(c), F.col("root").alias(f"r{c}"))
+    merged = stage(components(linked.join(of("x"), "x").join(of("y"), "y").select("rx", "ry")).select(F.col("node").alias("root"), F.col("root").alias("fresh")))
+    return rows.join(merged, "root", "left").select("shingles_key", F.coalesce("fresh", "root").alias("root"), "size", "at", "token")
+
+
+def _prefixes(keyed: DataFrame, placed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """shingles_key, root, size, parity and the first tokens of each node's set.
+
+    Any order is right; shingles that are frequent in a sample of nodes go last, so that
+    templates and stock lines meet seldom.
     """
     spark = keyed.sparkSession
     step = max(1, placed.count() // SAMPLE)
@@ -408,16 +471,7 @@ def prefix_pairs(keyed: DataFrame, placed: DataFrame, shingle: int, similarity:
                     names=["text_key", "size", "parity", "tokens"])
 
     prefixes = keyed.mapInArrow(prefixes_of, "text_key bigint, size int, parity binary, tokens array<bigint>").dropDuplicates(["text_key"])
-    firsts = stage(prefixes.join(placed, "text_key").select("shingles_key", "root", "size", "parity", "tokens"))
-    rows = (
-        firsts.select("shingles_key", "root", "size", F.posexplode("tokens").alias("at", "token"))
-        .select("token", "shingles_key", "size", "at", "root")
-        .repartition("token")
-        .sortWithinPartitions("token")
-    )
-    met = stage(rows.mapInArrow(_meetings(similarity), "x bigint, y bigint").distinct())
-    side = lambda c: firsts.select(F.col("shingles_key").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
-    return met.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "px", "py").mapInArrow(_near_parities(similarity), "x bigint, y bigint")
+    return prefixes.join(placed, "text_key").select("shingles_key", "root", "size", "parity", "tokens")
 
 
 def _parities(tokens: np.ndarray, sizes: np.ndarray) -> pa.Array:
