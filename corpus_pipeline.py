@@ -20,8 +20,8 @@ from tidegauge.session import stage
 
 #: near copies share 0.8 of their shingles of five words
 SHINGLE, SIMILARITY = 5, 0.8
-#: of 64 bits of the word-set fingerprints that find them
-RADIUS = 4
+#: of 64 bits of the word-set fingerprints that join most of them
+RADIUS = 2
 
 
 def _identity() -> Column:
