@@ -62,7 +62,14 @@ def test_bit_table_never_loses(spark):
 def test_most_frequent_is_bounded_and_from_the_top(spark, most):
     counts = {f"w{i}": 1 + (i * i) % 97 for i in range(200)}
     got = {r.word: r.n for r in most_frequent(spark.createDataFrame(list(counts.items()), "word string, n bigint"), "n", most).collect()}
-    assert len(got) <= most and (not got or min(got.values()) > max([0, *(n for w, n in counts.items() if w not in got)]))
+    assert len(got) == min(most, 200) and (not got or min(got.values()) >= max([0, *(n for w, n in counts.items() if w not in got)]))
     if most >= 200:
         assert got == counts
     assert most_frequent(spark.createDataFrame([], "word string, n bigint"), "n", most).count() == 0
+
+
+def test_most_frequent_of_equal_counts(spark):
+    frame = spark.createDataFrame([(f"w{i}", 1000 if i < 3 else 7) for i in range(120)], "word string, n bigint")
+    got = {r.word for r in most_frequent(frame, "n", 40).collect()}
+    assert len(got) == 40 and {"w0", "w1", "w2"} <= got
+    assert got == {r.word for r in most_frequent(frame.repartition(5), "n", 40).collect()}
