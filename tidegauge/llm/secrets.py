@@ -20,8 +20,10 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +55,7 @@ CONTEXT = 48
 
 FEATURES = [
     "length", "word_transitions", "kind_changes", "dictionary", "entropy", "digits", "upper", "hex", "longest_run", "distinct",
-    "named", "assigned", "quoted", "placeholder", "hash_word", "test_path", "config_path",
+    "named", "assigned", "quoted", "placeholder", "hash_word", "test_path", "config_path", "key_block",
 ]
 
 
@@ -116,26 +118,24 @@ class Lexicon:
 
 
 def describe(value: str, left: str, right: str, path: str, lexicon: Lexicon) -> list[float]:
-    """The numbers FEATURES of one candidate; long values are described by their first 512 characters."""
-    held = value[:512]
-    n = max(1, len(held))
-    low = held.lower()
-    kinds = [kind(c) for c in held]
-    counts = {c: held.count(c) for c in set(held)}
-    steps = [lexicon.transitions[_letter(a), _letter(b)] for a, b in zip(low, low[1:], strict=False)]
-    run = longest = 1
-    for a, b in zip(held, held[1:], strict=False):
-        run = run + 1 if a == b else 1
-        longest = max(longest, run)
+    """The numbers FEATURES of one candidate, over its whole value."""
+    n = max(1, len(value))
+    low = value.lower()
+    kinds = [kind(c) for c in value]
+    counts = Counter(value)
+    letters = np.array([_letter(c) for c in low], np.int64)
+    steps = lexicon.transitions[letters[:-1], letters[1:]]
+    longest = max((sum(1 for _ in same) for _, same in groupby(value)), default=1)
     near = left[-CONTEXT:]
     return [
-        float(min(len(value), 512)), float(np.mean(steps)) if steps else 0.0,
-        sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, lexicon.coverage(held),
+        math.log2(n), float(np.mean(steps)) if len(steps) else 0.0,
+        sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, lexicon.coverage(value),
         -sum(v / n * math.log2(v / n) for v in counts.values()), kinds.count(2) / n, kinds.count(1) / n,
         float(all(c in "0123456789abcdef" for c in low)), longest / n, len(counts) / n,
         float(bool(NAMED.search(near))), float(bool(re.search(r"[=:][^\w]*$", near))), float(near[-1:] in ("'", '"', "`") and near != ""),
-        float(bool(PLACEHOLDERS.search(held)) or bool(PLACEHOLDERS.search(near[-16:]))), float(bool(HASH_WORDS.search(near)) or bool(HASH_WORDS.search(right[:16]))),
+        float(bool(PLACEHOLDERS.search(value)) or bool(PLACEHOLDERS.search(near[-16:]))), float(bool(HASH_WORDS.search(near)) or bool(HASH_WORDS.search(right[:16]))),
         float(bool(TEST_PATHS.search(path))), float(bool(CONFIG_PATHS.search(path))),
+        float(value.startswith("-----BEGIN")),
     ]
 
 
@@ -148,6 +148,7 @@ def seed_findings(n: int = FINDINGS, seed: int = 42) -> list[tuple[str, str, str
     prose = lambda: " ".join(rng.choice(words) for _ in range(3))
     paths = ["src1", "src7", "app/settings.yml", "lib/main.py", "deploy/.env", "notes.txt", "service.go", "web/index.html"]
     names = ["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "TOKEN", "API_KEY", "private_key"]
+    block = lambda lines: "\n".join(draw(alnum + "+/", 64) for _ in range(lines))
     signs = [' = "', " = '", "=", ": ", ': "', ' := "', "!! =!! \""]
     out = []
     for i in range(n):
@@ -155,12 +156,13 @@ def seed_findings(n: int = FINDINGS, seed: int = 42) -> list[tuple[str, str, str
             value = rng.choice([
                 lambda: draw(hexes, rng.choice([32, 40, 64])), lambda: draw(hexes, rng.choice([32, 40, 64])).upper(), lambda: draw(alnum, rng.randint(16, 48)),
                 lambda: draw(alnum + "+/", rng.randint(24, 64)) + "==", lambda: "AKIA" + draw(alnum[:26] + "0123456789", 16), lambda: "ghp_" + draw(alnum, 36),
-                lambda: "sk-" + draw(alnum, 40), lambda: draw(alnum + "!#$%&*", rng.randint(10, 20))])()
-            bare = value.startswith(("AKIA", "ghp_", "sk-")) and rng.random() < 0.4
+                lambda: "sk-" + draw(alnum, 40), lambda: draw(alnum + "!#$%&*", rng.randint(10, 20)), lambda: draw(alnum + "+/", rng.randint(200, 2000)),
+                lambda: f"-----BEGIN {rng.choice(['', 'RSA ', 'EC '])}PRIVATE KEY-----\n{block(rng.randint(3, 40))}\n-----END PRIVATE KEY-----"])()
+            bare = value.startswith("-----") or value.startswith(("AKIA", "ghp_", "sk-")) and rng.random() < 0.4
             left = prose() + " " + ("" if bare else rng.choice(names) + rng.choice(signs))
             out.append((value, left, '" ' + prose(), rng.choice(paths), 1))
             continue
-        shape = rng.randrange(7)
+        shape = rng.randrange(8)
         left, path = prose() + " ", rng.choice(paths)
         if shape == 0:  # hashes and ids without a credential's name
             value = draw(hexes, rng.choice([32, 40, 64]))
@@ -178,6 +180,9 @@ def seed_findings(n: int = FINDINGS, seed: int = 42) -> list[tuple[str, str, str
         elif shape == 5:  # plain words after a name
             value = rng.choice(["required", "invalid", "expired", "generated", "configuration", "authentication"]) + rng.choice(["", "Error", "_value", "Handler"])
             left += rng.choice(names) + rng.choice([": ", " = "])
+        elif shape == 6:  # embedded files and dumps
+            value = draw(rng.choice([hexes, alnum + "+/"]), rng.randint(200, 2000))
+            left += rng.choice(["", "data:image/png;base64,", "src=\"data:font/woff;base64,", "body: ", "dump = "])
         else:
             value = "".join(rng.choice(words) for _ in range(5)) + rng.choice(["", "2", "_01"])
         out.append((value, left, " " + prose(), rng.choice(["tests/test_app.py", "docs/example.md", path, path]), 0))
