@@ -87,6 +87,7 @@ NEIGHBOUR_SIMILARITY_CUT = 0.35
 DENSITY_NEIGHBOURS = 10
 SELF_NEIGHBOURS = 10
 SELF_SIMILARITY_CUT = 0.25
+GATE_MIN_ROWS = 10
 
 # Stereo ranking.
 STEREO_TIER = {
@@ -96,9 +97,16 @@ STEREO_DEDUP_RANK = {"defined": 0, "achiral": 1, "undefined": 2}
 CONSENSUS_BONUS = 0.15
 CONSENSUS_MIN_SOURCES = 2
 
+# Coefficients of the released weight, and what a missing factor counts.
+WEIGHT_FACTORS = {"novelty": 0.20, "diversity": 0.10, "complexity": 0.05, "resolution": 0.10, "stereo_penalty": 0.60}
+WEIGHT_DEFAULTS = {"novelty": 0.5, "diversity": 0.5, "complexity": 0.3, "consensus": 0.0, "resolution": 0.0, "stereo_penalty": 0.0}
+
 # Label uncertainty weights.
 UNCERTAINTY_WEIGHTS = {"std": 0.35, "assay": 0.25, "source": 0.15, "unit": 0.15, "context": 0.10}
 
+# How far a point value may lie from the middle of its bootstrap.
+POINT_LIMITS = {"r2": 0.05, "roc_auc": 0.03}
+
 # Splits.
 MIN_VAL_FRACTION = 0.08
 CLUSTER_CUTOFFS = [0.40, 0.50, 0.55, 0.60, 0.65, 0.35, 0.30, 0.25]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.expressions import first_rule
-from tidegauge.operators.ordered import attach_scalars, average_ranks, running_totals
+from tidegauge.functions.expressions import first_rule, lookup
+from tidegauge.operators.ordered import attach_scalars, average_ranks, quantiles, running_totals
 
 
 def two_sample_ks(df: DataFrame, keys: Sequence[str], value: str, in_first: Column) -> DataFrame:
@@ -219,6 +219,38 @@ def percentile_interval(draws: DataFrame, metrics: Sequence[str]) -> DataFrame:
         F.percentile("value", F.lit(0.975)).alias("high"), F.count("value").alias("n"))
 
 
+def interval_agreement(points: DataFrame, intervals: DataFrame, keys: Sequence[str], limits: Mapping[str, float]) -> DataFrame:
+    """Point values beside their bootstrap intervals, one row per cell (``keys``) and metric.
+
+    ``points`` holds keys, metric, point; ``intervals`` keys, metric, low, mid, high.  A cell
+    agrees if the point is within its metric's limit of the middle; a metric without a limit
+    always does, and a cell without interval or point has null.
+    """
+    on = [*keys, "metric"]
+    limit = lookup(F.col("metric"), limits) if limits else F.lit(None).cast("double")
+    gap = F.abs(F.col("point") - F.col("mid"))
+    return points.join(intervals.select(*on, "low", "mid", "high"), on, "left").withColumns({
+        "width": F.col("high") - F.col("low"), "gap": gap, "limit": limit,
+        "agrees": F.when(gap.isNotNull(), F.coalesce(gap <= limit, F.lit(True)))})
+
+
+def agreement_audit(cells: DataFrame) -> DataFrame:
+    """Audit lines over ``interval_agreement``: intervals present, widths per metric, agreement.
+
+    Columns: check, metric, verdict, n (cells looked at), n_bad, low, mid, high (of the widths).
+    """
+    none = F.lit(None)
+    line = lambda check, n, bad: cells.agg(n.alias("n"), bad.alias("n_bad")).select(
+        F.lit(check).alias("check"), none.cast("string").alias("metric"), F.when(F.col("n_bad") == 0, "PASS").otherwise("WARN").alias("verdict"),
+        "n", "n_bad", *[none.cast("double").alias(c) for c in ("low", "mid", "high")])
+    held = cells.filter("width IS NOT NULL")
+    widths = held.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.min("width").alias("low"), F.max("width").alias("high")).join(
+        quantiles(held, ["metric"], "width", {"mid": 0.5}).select("metric", "mid"), "metric")
+    return line("interval_present", F.count(F.lit(1)), F.count_if(F.col("width").isNull())).unionByName(
+        line("point_near_middle", F.count("agrees"), F.count_if(~F.col("agrees")))).unionByName(
+        widths.select(F.lit("interval_width").alias("check"), "metric", F.lit("INFO").alias("verdict"), "n", F.lit(0).cast("long").alias("n_bad"), "low", "mid", "high"))
+
+
 def _pair_sums(id_col: str, y: str, p: str, w: str, replicates: int, seed: int, rows: int = 2048):
     """Rows of one range of scores, ascending, to a line of sums per replicate.
 

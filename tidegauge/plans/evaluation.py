@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidegauge import constants as K
 from tidegauge.operators import ordered as O
 from tidegauge.operators import rules
 from tidegauge.operators import stats as S
 from tidegauge.plans.standins import pred_sql, predictions
 from tidegauge.registry import query
+from tidegauge.session import stage
 
 
 def rounded(df, *keep, digits=6, cols=()):
@@ -152,6 +154,31 @@ def bootstrap_auc_ci(t):
     return S.percentile_interval(draws, ["roc_auc"])
 
 
+def _cells_with_intervals(t):
+    """R2 and AUC of each strategy on all its rows, beside their bootstrap intervals."""
+    names = ("A", "N", "R")
+    rows = predictions(t, "strategy", "id", "y_true", "y_pred", "p", "y", "w")
+    points = S.regression_metrics(rows, ["strategy"], "y_true", "y_pred", "w").select("strategy", F.lit("r2").alias("metric"), F.col("r2").alias("point")).unionByName(
+        S.weighted_auc(rows, ["strategy"], "y", "p", "w").select("strategy", F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("point")))
+    intervals = None
+    for name in names:
+        part = rows.filter(F.col("strategy") == name)
+        for draws, metric in ((S.bootstrap_regression(part, "id", "y_true", "y_pred", "w", 1000, 42), "r2"), (S.bootstrap_auc(part, "id", "y", "p", "w", 1000, 42), "roc_auc")):
+            found = S.percentile_interval(draws, [metric]).withColumn("strategy", F.lit(name))
+            intervals = found if intervals is None else intervals.unionByName(found)
+    return S.interval_agreement(points, stage(intervals), ["strategy"], K.POINT_LIMITS)
+
+
+@query("Q09 A37")
+def bootstrap_agreement(t):
+    return rounded(_cells_with_intervals(t), "strategy", "metric", "limit", "agrees", cols=("point", "low", "mid", "high", "width", "gap"))
+
+
+@query("Q09")
+def bootstrap_audit(t):
+    return S.agreement_audit(stage(_cells_with_intervals(t)))
+
+
 @query("X12 Q11", f"""
 WITH {pred_sql()}, m AS (SELECT CASE strategy WHEN 'A' THEN 'random' WHEN 'N' THEN 'scaffold' ELSE 'cliff_aware' END AS split_name, round(abs(100e0 * avg((p >= 4e-1)::INT) FILTER (WHERE split = 'train') - 1e2 * avg((p >= 4e-1)::INT) FILTER (WHERE split = 'test')) * 20, 1) AS drift,
   count(*) FILTER (WHERE split = 'val') AS n_val, 18e-2 AS ks, 3e-2 AS pv FROM pred GROUP BY 1),

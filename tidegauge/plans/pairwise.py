@@ -8,6 +8,9 @@ from tidegauge import constants as K
 from tidegauge.operators import domain as DM
 from tidegauge.operators import ordered as O
 from tidegauge.operators import pairwise as P
+from tidegauge.operators.rules import remediation
+from tidegauge.operators.weights import group_decay, min_max_weight, released_weight
+from tidegauge.plans.standins import comp_sql, compounds
 from tidegauge.registry import query
 
 DOC_SQL = r"""doc AS (SELECT doc_id AS id, list_sort(list_distinct(string_split_regex(trim(lower(text)), '\s+'))) AS s, 4e0 + (doc_id % 9) * 5e-1 AS v FROM documents),
@@ -76,6 +79,44 @@ def knn_ad(t):
         F.round("density", 5).alias("local_density"), F.round("score", 5).alias("score"), "in_domain", "reliability")
 
 
+@query("J10 M20")
+def knn_ad_gated(t):
+    out = DM.gated_domain(fingerprints(t, "label < 5"), fingerprints(t, "label >= 5"))
+    return out.select(
+        "id", *[F.round(c, 5).alias(n) for c, n in (
+            ("mean_sim", "nn_similarity"), ("var_sim", "knn_variance"), ("density", "local_density"), ("gate_distance", "gate_distance"), ("score", "score"))],
+        "gate_in_domain", "in_domain", "reliability")
+
+
+@query("P26 P18 P19 J09", f"""
+WITH {BIT_SQL}, rk AS (SELECT q, s, row_number() OVER (PARTITION BY q ORDER BY round(1 - s, 9), r) AS rn FROM tan WHERE q <> r),
+nov AS (SELECT q AS compound_id, round(1 - round(avg(s), 4), 4) AS novelty FROM rk WHERE rn <= 5 GROUP BY 1),
+{comp_sql('compound_id', 'scaffold', 'weight', 'size')}, g AS (SELECT scaffold, count(*) AS n FROM comp GROUP BY 1), mx AS (SELECT max(n) AS top FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY scaffold ORDER BY weight DESC, compound_id) - 1 AS rk FROM comp JOIN g USING (scaffold), mx),
+f AS (SELECT compound_id, weight AS fw, CASE WHEN n <= 15 OR rk < 15 THEN 1e0 ELSE round(greatest(pow(5e-1, rk - 14), 1e-2), 4) END AS decay, (compound_id % 11) / 5e1 AS lu, coalesce(novelty, 5e-1) AS nov,
+  round(1e0 - n / top::DOUBLE, 4) AS sdiv, CASE WHEN compound_id % 10 = 0 THEN 3e-1 ELSE (compound_id % 10) / 1e1 END AS comp, (compound_id % 3) / 2e0 AS csc, CASE WHEN compound_id % 9 = 0 THEN 8e-1 ELSE 0e0 END AS res,
+  round(CASE WHEN compound_id % 9 = 0 AND compound_id % 4 >= 2 THEN 1e-1 WHEN compound_id % 4 >= 2 AND compound_id % 6 > 3 THEN 55e-2 WHEN compound_id % 4 = 3 THEN 5e-1
+    WHEN compound_id % 4 = 2 THEN least((compound_id % 6) / greatest(compound_id % 7, 1)::DOUBLE, 1e0) * 3e-1 ELSE 0e0 END, 3) AS smp FROM k LEFT JOIN nov USING (compound_id)),
+w AS (SELECT compound_id, nov, decay, greatest(fw * decay * (1e0 - lu) * (1e0 + 2e-1 * nov) * (1e0 + 1e-1 * sdiv) * (1e0 + 5e-2 * comp) * (1e0 + 15e-2 * csc) * (1e0 + 1e-1 * res) * (1e0 - 6e-1 * smp), 0e0) AS w FROM f),
+mm AS (SELECT min(w) AS lo, max(w) AS hi FROM w)
+SELECT compound_id, nov AS novelty, round(least(greatest(w, 1e-2), 15e-1), 4) AS ml_weight_raw, CASE WHEN hi > lo THEN round(1e-2 + 99e-2 * (w - lo) / (hi - lo), 4) ELSE 5e-1 END AS ml_weight FROM w, mm""")
+def released_weights(t):
+    from tidegauge.plans.curation import with_novelty
+    ranked = group_decay(compounds(t, "compound_id", "scaffold", "weight"), "scaffold", "weight", "compound_id").withColumnRenamed("compound_id", "row_id")
+    prints = fingerprints(t).select(F.col("id").alias("row_id"), F.col("vector").alias("fingerprint"))
+    # the novelty of a compound counts all that have a fingerprint, listed or not
+    novelty = with_novelty(prints).select("row_id", "novelty")
+    rows = ranked.join(novelty, "row_id", "left")
+    part, crossed = F.col("row_id"), F.col("row_id") % 9 == 0
+    flag = F.element_at(F.array(*[F.lit(n) for n in ("defined", "achiral", "partial_undefined", "fully_undefined")]), (part % 4 + 1).cast("int"))
+    penalty = remediation(flag, (part % 7).cast("int"), (part % 6).cast("int"), crossed, F.lit(6.0))["penalty"]
+    raw = released_weight(
+        F.col("weight"), F.col("decay_weight"), (part % 11) / 50.0, novelty=F.col("novelty"), diversity=F.col("diversity"),
+        complexity=F.nullif((part % 10) / 10.0, F.lit(0.0)), consensus=(part % 3) / 2.0, resolution=F.when(crossed, 0.8), stereo_penalty=penalty)
+    out = min_max_weight(rows.withColumn("_raw", raw), "_raw", "ml_weight_raw", "ml_weight")
+    return out.select(part.alias("compound_id"), F.coalesce("novelty", F.lit(0.5)).alias("novelty"), "ml_weight_raw", "ml_weight")
+
+
 @query("J11", f"""
 WITH {BIT_SQL}, rk AS (SELECT q, ql, s, row_number() OVER (PARTITION BY q ORDER BY round(1 - s, 9), r) AS rn FROM tan WHERE rl < 4 AND q <> r),
 g AS (SELECT q, ql < 4 AS member, avg(s) AS m, var_pop(s) AS v, avg((s > 0)::INT) * avg(s) AS d FROM rk WHERE rn <= 10 GROUP BY 1, 2),
