@@ -105,7 +105,9 @@ def test_secrets(spark, awkward, empty):
 
 # 4 decontamination
 def check_contamination(docs, items, length, found):
-    got = multiset((r.doc_id, r.n_words, r.n_hit, len(r.item_ids), brute.sha(",".join(r.item_ids)), r.n_hit > 0) for r in found.collect())
+    rows = found.collect()
+    assert all(r.n_items == len(r.item_ids) and r.items_sha256 == brute.sha(",".join(r.item_ids)) for r in rows)
+    got = multiset((r.doc_id, r.n_words, r.n_hit, len(r.item_ids), brute.sha(",".join(r.item_ids)), r.n_hit > 0) for r in rows)
     assert got == multiset(brute.contamination(pairs(docs), [(r.item_id, r.text) for r in items.collect()], length))
 
 
@@ -118,6 +120,17 @@ def test_decontamination(spark, length):
     check_contamination(docs, items, length, decontaminate.decontaminate(docs, items, length))
 
 
+def test_decontamination_of_a_passage_of_all_items(spark):
+    """Every item and every document hold one passage; some documents hold items of their own too."""
+    common = " ".join(f"common{i}" for i in range(12))
+    own = lambda k: " ".join(f"own{k}x{i}" for i in range(10))
+    items = spark.createDataFrame([(k, f"{own(k)} {common}") for k in range(40)] + [(None, common), (7, own(99))], "item_id bigint, text string")
+    docs = spark.createDataFrame(
+        [(d, f"see {common} end") for d in range(60)] + [(100 + d, f"{own(d)} and {common}") for d in range(5)] + [(200, own(99)), (201, own(3) + " " + own(4)), (202, "none")],
+        "doc_id bigint, text string")
+    check_contamination(docs, items, 10, decontaminate.decontaminate(docs, items))
+
+
 def test_decontamination_awkward(spark, awkward, empty):
     items = spark.createDataFrame([(1, "reserved cc"), (2, "SAME row"), (3, "")], "item_id bigint, text string")
     check_contamination(awkward, items, 10, decontaminate.decontaminate(awkward, items))

@@ -13,8 +13,11 @@ fingerprint inside it: no shared span of L words can be missed.
 3. Each hit is extended left and right to every window of L words that covers its k-gram,
    and the words of these windows are joined with the items' windows: equal words, no hash.
 
-All joins meet distinct windows, so a passage of many documents or many items gives one
-row for each place, never pairs.
+Items are listed once for each set of them that documents hit, not once a document: windows
+of equal item sets are one class (two 64-bit XORs of the ids' hashes, and their number), a
+document has the set of its classes, and equal sets share one list, its size and its digest.
+So a passage of many documents and many items gives one row for each place and one for each
+item.  A caller that leaves ``item_ids`` out never moves the lists.
 
 Rows: nulls in ``text`` have no words; an item id that is null marks words but is not
 listed; equal rows and repeated or null ids are documents of their own; empty tables give
@@ -120,7 +123,7 @@ def _document_candidates(lengths: list[int], table):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> DataFrame:
-    """One row a document: row, doc_id, n_words, n_hit, item_ids (sorted strings).
+    """One row a document: row, doc_id, n_words, n_hit, n_items, items_sha256, item_ids (sorted strings).
 
     ``row`` numbers the rows of ``docs`` as they are scanned; ``doc_id``, of any type, is
     carried along.
@@ -132,6 +135,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> Da
     prints = test.select("len", F.explode("fps").alias("fp")).distinct()
     windows = test.select("item_id", F.explode("wins").alias("win")).distinct()
     table = spark.sparkContext.broadcast(bittable.collect_bits(prints, "fp"))
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("item_id")))
+    classes = stage(windows.groupBy("win").agg(F.concat_ws(":", F.count(F.lit(1)), mark(1), mark(2)).alias("class")))
+    members = classes.groupBy("class").agg(F.min("win").alias("win")).join(windows, "win").select("class", "item_id")
 
     base = stage(
         docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
@@ -145,7 +151,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> Da
         .join(prints, ["len", "fp"], "left_semi")
         .select("row", "start", "len", "win")
         .distinct()
-        .join(windows.select("win").distinct(), "win", "left_semi")
+        .join(classes, "win")
+        .select("row", "start", "len", "class")
     )
     before = Window.partitionBy("row").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("len")
@@ -155,19 +162,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> Da
         .groupBy("row")
         .agg(F.sum("fresh").cast("long").alias("n_hit"))
     )
-    named = (
-        hits.select("row", "win")
-        .distinct()
-        .join(windows, "win")
-        .groupBy("row")
-        .agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    sets = stage(
+        hits.groupBy("row").agg(F.sort_array(F.collect_set("class")).alias("classes")).withColumn("set", F.sha2(F.array_join("classes", ","), 256)))
+    lists = stage(
+        sets.groupBy("set").agg(F.first("classes").alias("classes"))
+        .select("set", F.explode("classes").alias("class"))
+        .join(members, "class")
+        .groupBy("set").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+        .select("set", "item_ids", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"))
     )
+    named = sets.select("row", "set").join(lists, "set").drop("set")
     return (
         base.select("row", "doc_id", "n_words")
         .join(covered, "row", "left")
         .join(named, "row", "left")
         .select(
             "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+            F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
             F.coalesce("item_ids", F.expr("cast(array() as array<string>)")).alias("item_ids"),
         )
     )
@@ -176,10 +187,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> Da
 def op4_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document against every item of ``benchmark``."""
     found = decontaminate(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
-    return found.select(
-        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-    )
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 OP4_SQL = r"""
