@@ -169,6 +169,20 @@ def test_sharding(spark, awkward, empty, tmp_path):
     assert sharding.shard(empty, str(tmp_path / "e")).count() == 0
 
 
+def test_sharding_of_one_hot_id(spark, tmp_path):
+    """Half of all rows have one id, a sixth none: buckets stay even."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(6000).select(
+        F.when(F.col("id") < 3000, 7).when(F.col("id") >= 1000 * 4, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    per_cell = [r.n for r in docs.groupBy(sharding.cell_of(16, 42)).agg(F.count("*").alias("n")).collect()]
+    assert len(per_cell) == 16 and max(per_cell) < 1.3 * 6000 / 16
+    got = sharding.shard(docs, str(tmp_path / "hot"), 7, 10_000).collect()
+    assert multiset((r.record.doc_id, r.record.text) for r in got) == multiset(pairs(docs))
+    counts = collections.Counter(r.shard for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1 and len(counts) == 7
+
+
 def test_fisher_yates_is_uniform():
     seen = collections.Counter(tuple(sharding.fisher_yates(4, s)) for s in range(24_000))
     assert len(seen) == 24 and max(seen.values()) < 1_200 and min(seen.values()) > 800

@@ -1,6 +1,6 @@
 """Two-pass external shuffle of a corpus into shards.
 
-Pass 1 scatters records by a seeded hash of their id into buckets that fit in memory; their
+Pass 1 scatters records by a seeded hash of id and text into buckets that fit in memory; their
 number follows the bytes of the input, about ``bucket_bytes`` each.  Pass 2 loads one
 bucket at a time, puts it in a fixed order, shuffles it by Fisher-Yates with a generator
 seeded by the bucket, and writes it.  The buckets in turn are one random order of all
@@ -12,9 +12,10 @@ Where records go needs the count of each bucket before pass 2: one scan counts r
 bytes in ``CELLS`` cells of the hash, so the driver gets at most that many rows, and
 buckets are runs of whole cells.
 
-Rows: ids are expected to be unique; records with a null id are scattered by text; repeated
-ids share a bucket; null texts count 16 bytes; empty tables give no rows; all columns are
-kept, inside the struct ``record``, so their names cannot clash with the added ones.
+Rows: repeated and null ids are scattered by their texts, so a third of all rows may have one
+id; only rows equal in both id and text share a bucket, whatever its size; null texts count 16
+bytes; empty tables give no rows; all columns are kept, inside the struct ``record``, so their
+names cannot clash with the added ones.
 """
 
 from __future__ import annotations
@@ -52,6 +53,11 @@ def fisher_yates(n: int, seed: int) -> list[int]:
     return order
 
 
+def cell_of(cells: int, seed: int) -> Column:
+    """The record's cell, from id and text."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(cells)).cast("int")
+
+
 def _shuffle(starts: np.ndarray, total: int, shards: int, seed: int):
     """Rows of (bucket, record), whole buckets one after another, to shuffled records with their places."""
 
@@ -91,8 +97,7 @@ def shard(docs: DataFrame, path: str, shards: int = SHARDS, bucket_bytes: int =
     Columns: ``record`` (all columns), ``shard`` (0 to shards - 1), ``slot`` (from 0, gapless).
     """
     record = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    draw = F.xxhash64(F.lit(seed), F.when(F.col("doc_id").isNotNull(), F.col("doc_id").cast("string")).otherwise(F.col("text")))
-    cell = F.pmod(draw, F.lit(cells)).cast("int")
+    cell = cell_of(cells, seed)
     sizes = docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.sum(record_size(F.col("text"))).alias("bytes")).toArrow()
     counts, total_bytes = np.zeros(cells, np.int64), int(np.sum(sizes.column("bytes").to_numpy()))
     counts[sizes.column("cell").to_numpy()] = sizes.column("n").to_numpy()
