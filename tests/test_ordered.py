@@ -101,3 +101,16 @@ def test_outlier_flags_small_groups(spark):
     assert out[(out.k == 1) & (out.v == 9.0)]["is_iqr_outlier"].item()
     assert not out[out.k == 2]["is_iqr_outlier"].any()
     assert out[out.k == 3]["is_iqr_outlier"].isna().all()
+
+
+def test_totals_are_rounded_as_running_sums_are(spark):
+    """Half of a total is compared with running sums: weights 0.1 to 0.7 sum to other doubles in other orders."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame([(k, float(v), float(w)) for k in range(400) for v, w in enumerate(rng.integers(1, 8, 9) / 10)], columns=["k", "v", "w"])
+    mixed = spark.createDataFrame(pdf.sample(frac=1, random_state=1)).repartition(6)
+    got = O.running_totals(mixed, ["k"], "v", ["w"]).toPandas()
+    last = got[got.v == 8].set_index("k")
+    want = pdf.groupby("k")["w"].apply(lambda w: w.cumsum().iloc[-1])
+    # a key at the edge of two ranges adds up in two steps
+    assert ((last["cum_w"] == last["all_w"]) & (last["all_w"] == want)).sum() >= 392
+    assert (last["all_w"] - want).abs().max() < 1e-12
