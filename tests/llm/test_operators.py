@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from brute import FOLDER
+from pyspark.sql import functions as F
 
 from tidegauge.llm import decontaminate, language, licenses, pieces, quality, secrets, sharding, simhash, substrings, tokens
 from tidegauge.llm.components import components
@@ -154,6 +155,24 @@ def test_quality(spark, texts, awkward, empty):
     assert quality.judge(empty, some.limit(0)).count() == 0
 
 
+def test_quality_threshold_of_all_rows(spark):
+    """All labelled rows set the threshold and the trees; it was a share of about 20,000 of them by hash."""
+    n = 60_000
+    rows = spark.range(n).select(
+        F.col("id").alias("doc_id"), (F.col("id") % 1000).cast("double").alias("f0"), F.lit(0.0).alias("f1"), F.lit(0.0).alias("f2"), F.lit(0.0).alias("f3"),
+        (F.col("id") % 1000 < 900).alias("good"), (F.col("id") % 2000 >= 1000).alias("held"))
+    forest, limit = quality.calibrate(rows, 0.95, 42)
+    x = np.zeros((1000, 4))
+    x[:, 0] = np.arange(1000)
+    scores = forest.scores(x)
+    good, bad = np.sort(np.repeat(scores[:900], n // 2000)), np.repeat(scores[900:], n // 2000)
+    floor = good[int(np.ceil(0.95 * len(good))) - 1]
+    assert limit == (floor + bad[bad > floor].min()) / 2
+    counted = quality.Forest.plant(np.array([0.0] * 4), np.array([999.0, 0, 0, 0]), [0], seed=42).counted(
+        np.stack([np.bincount(forest.slots(x[:900], t), minlength=256) * (n // 2000) for t in range(quality.TREES)]))
+    assert np.array_equal(counted.path, forest.path) and np.array_equal(counted.scores(x), scores)
+
+
 # 6 sharding
 def test_sharding(spark, awkward, empty, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
