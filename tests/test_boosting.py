@@ -108,6 +108,23 @@ def test_trees_do_not_depend_on_partitions(spark):
     assert a == b
 
 
+def test_few_rows_make_one_job_a_round(spark, monkeypatch):
+    """Scores were written after every round, and shallow trees took a job a level."""
+    frame = spark.createDataFrame([r for i in range(12) for r in [(240 * i + r[0], *r[1:]) for r in data(240, i)]], SCHEMA)
+    how, cells = B.Rounds(most=9, bins=8, rate=0.3), [B.Cell(0, 4), B.Cell(1, 3, 1.0, 0.1, 1, "logistic")]
+    levels, writes, found = [], [], {}
+    histograms, replace = B._histograms, B._replace
+    monkeypatch.setattr(B, "_histograms", lambda *a: levels.append(a[2]) or histograms(*a))
+    monkeypatch.setattr(B, "_replace", lambda *a: writes.append(a[1]) or replace(*a))
+    for every in (8, 1):
+        monkeypatch.setattr(B, "WRITE_EVERY", every)
+        levels.clear(), writes.clear()
+        done = B.fit(frame, cells, how)
+        found[every] = ({(r.cell, r.id): r.p for r in done.predictions.collect()}, done.rounds, done.losses)
+        assert set(levels) == {0} and len(levels) == 10 and len(writes) == (3 if every == 8 else 10)
+    assert found[8][:2] == found[1][:2] and found[8][2] == pytest.approx(found[1][2])
+
+
 def test_no_row_feeds_its_own_prediction(spark):
     """Labels of fold 2 move all predictions but those of fold 2 itself."""
     rows = data(160, 5)

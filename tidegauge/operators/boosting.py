@@ -9,9 +9,10 @@ level of a round is one job, whatever the number of settings and folds.
   per cell, and only splits reach the driver (cells x nodes of the level at most).
 * A node whose rows take less room than the histograms of the subtree under it sends its
   rows instead, and one task grows that subtree from them.  The sums are the same, so the
-  tree is; with few rows a round is two jobs.
+  tree is.  Up to about 40,000 rows (LEAST_BINS) always go, which saves a job a level.
 * A round ends with one pass that adds the new leaves to every row's scores.  That table is
-  written in the shared folder, so a lost task is run again from it.
+  written in the shared folder, so a lost task is run again from it.  With few rows a round
+  is one job: tasks add the leaves of the last rounds themselves, and every eighth is written.
 * Early stopping: the held-out rows' loss comes with the first level's histograms.  A cell
   stops by itself after ``patience`` rounds without a new least loss, and each row keeps its
   scores as of the best round; the other cells go on without it.
@@ -23,6 +24,7 @@ table of scores (two floats a row and cell).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -38,6 +40,8 @@ from tidegauge.session import new_folder, stage
 #: gradients and weights are multiples of 2^-20
 _SCALE = float(1 << 20)
 _WIDE = 16  # bytes of a gradient and a curvature
+LEAST_BINS = 1 << 11  # subtrees count as no smaller than that: below it a job costs more than rows
+WRITE_EVERY = 8  # rounds that tasks add anew to the scores, if a round is one job
 _SPLITS = "cell int, node int, feature int, cut int, left_g double, left_h double, g double, h double"
 _PARTIAL = "cell int, at binary, g binary, h binary, node binary, bins binary, own_g binary, own_h binary, loss double, weight double"
 _PARTIAL_NAMES = [c.split()[0] for c in _PARTIAL.split(", ")]
@@ -154,7 +158,27 @@ class _Front:
     small: np.ndarray
 
 
-def _histograms(cells: Sequence[Cell], fronts: dict[int, _Front], level: int, drawn: int, how: Rounds):
+@dataclass
+class _Round:
+    """Trees that the table of scores does not have yet; ``keep`` names the cells whose scores before them are the best so far."""
+
+    trees: dict[int, _Tree]
+    keep: np.ndarray
+    deepest: int
+
+
+def _replayed(bins: np.ndarray, score: np.ndarray, kept: np.ndarray | None, rounds: Sequence[_Round], rate: float) -> tuple[np.ndarray, np.ndarray | None]:
+    """Scores, and those of the best rounds, after ``rounds``."""
+    score = score.copy()
+    for done in rounds:
+        if kept is not None:
+            kept = np.where(done.keep, score, kept)
+        for c, tree in done.trees.items():
+            score[:, c] += np.float32(rate) * tree.value[_place(bins, tree, done.deepest)].astype(np.float32)
+    return score, kept
+
+
+def _histograms(cells: Sequence[Cell], fronts: dict[int, _Front], level: int, drawn: int, how: Rounds, rounds: Sequence[_Round]):
     """Sums of gradients and curvatures by (cell, node, feature, bin), as sparse rows, or rows of small nodes.
 
     At level 0 the held-out losses come along.
@@ -169,7 +193,8 @@ def _histograms(cells: Sequence[Cell], fronts: dict[int, _Front], level: int, dr
             n = batch.num_rows
             if not n:
                 continue
-            bins, score = _matrix(batch.column("bins"), np.uint8, n), _matrix(batch.column("score"), np.float32, n)
+            bins = _matrix(batch.column("bins"), np.uint8, n)
+            score, _ = _replayed(bins, _matrix(batch.column("score"), np.float32, n), None, rounds, how.rate)
             fold, weight = batch.column("fold").to_numpy(), batch.column("w").to_numpy()
             labels = np.array(batch.column("labels").to_pylist(), float).reshape(n, -1)
             taken = _uniform(batch.column("draw").to_numpy(), drawn) < how.row_share
@@ -286,18 +311,15 @@ def _splitter(cells: Sequence[Cell], features: int, level: int, columns: np.ndar
     return run
 
 
-def _advance(trees: dict[int, _Tree], keep: np.ndarray, rate: float, deepest: int):
-    """Rows with the scores after a round; ``keep`` names the cells whose scores before it are the best so far."""
+def _advance(rounds: Sequence[_Round], rate: float):
+    """Rows with the scores after ``rounds``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            bins, score = _matrix(batch.column("bins"), np.uint8, n), _matrix(batch.column("score"), np.float32, n).copy()
-            kept = np.where(keep, score, _matrix(batch.column("kept"), np.float32, n))
-            for c, tree in trees.items():
-                score[:, c] += np.float32(rate) * tree.value[_place(bins, tree, deepest)].astype(np.float32)
+            score, kept = _replayed(_matrix(batch.column("bins"), np.uint8, n), _matrix(batch.column("score"), np.float32, n), _matrix(batch.column("kept"), np.float32, n), rounds, rate)
             held = [batch.column(c) for c in ("id", "fold", "draw", "w", "labels", "bins")]
             yield pa.record_batch([*held, *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (score, kept))], names=batch.schema.names)
 
@@ -336,7 +358,7 @@ def _replace(df: DataFrame, old: str | None) -> tuple[DataFrame, str]:
 
 
 def _leaf(g: float, h: float, cell: Cell, how: Rounds) -> float:
-    return -np.sign(g) * max(abs(g) - cell.alpha, 0.0) / (h + how.penalty)
+    return math.copysign(max(abs(g) - cell.alpha, 0.0), -g) / (h + how.penalty)
 
 
 def fit(rows: DataFrame, cells: Sequence[Cell], how: Rounds = Rounds()) -> Fitted:  # noqa: B008
@@ -359,9 +381,14 @@ def fit(rows: DataFrame, cells: Sequence[Cell], how: Rounds = Rounds()) -> Fitte
         base[c] = mean if cell.loss == "squared" else np.log(np.clip(mean, 1e-6, 1 - 1e-6) / (1 - np.clip(mean, 1e-6, 1 - 1e-6)))
     ids, names = rows.schema["id"].dataType.simpleString(), ["id", "fold", "w", "labels"]
     schema = f"id {ids}, fold int, draw bigint, w double, labels array<double>, bins binary, score binary, kept binary"
-    table, path = _replace(rows.select("id", F.col("fold").cast("int").alias("fold"), F.xxhash64("id").alias("draw"), F.col("w").cast("double").alias("w"), "labels", "features")
+    # a small table would be one file, and every pass over it one task
+    dealt = rows.repartition(spark.sparkContext.defaultParallelism, "id")
+    table, path = _replace(dealt.select("id", F.col("fold").cast("int").alias("fold"), F.xxhash64("id").alias("draw"), F.col("w").cast("double").alias("w"), "labels", "features")
                            .mapInArrow(_encoder(cuts, base), schema), None)
-    parts = max(1, min(len(cells), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, min(len(cells), int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
+    fewest = lambda level, c: (_WIDE + 4) * max(LEAST_BINS, ((1 << (cells[c].depth - level)) - 1) * (how.bins + 1))
+    every = WRITE_EVERY if all(sizes[c] <= fewest(0, c) for c in range(len(cells))) else 1
+    rounds: list[_Round] = []
     losses, best, history = np.full(len(cells), np.inf), np.zeros(len(cells), int), [[] for _ in cells]
     active, keep = set(range(len(cells))), np.zeros(len(cells), bool)
     for step in range(how.most + 1):
@@ -370,13 +397,12 @@ def fit(rows: DataFrame, cells: Sequence[Cell], how: Rounds = Rounds()) -> Fitte
         columns[np.argsort(picks, kind="stable")[: max(1, round(how.column_share * len(cuts)))]] = True
         trees = {c: _Tree(np.full((2 << cells[c].depth) - 1, -1, np.int16), np.zeros((2 << cells[c].depth) - 1, np.uint8), np.zeros((2 << cells[c].depth) - 1)) for c in active}
         keep = np.zeros(len(cells), bool)
-        fewest = lambda level, c: (_WIDE + 4) * ((1 << (cells[c].depth - level)) - 1) * (how.bins + 1)
         fronts = {c: _Front(t, np.ones(1, bool), np.array([sizes[c] <= fewest(0, c)])) for c, t in trees.items()}
         rows_of = {c: np.array([sizes[c]]) for c in fronts}  # about as many rows are in each node
         level = 0
         while fronts:
             partial = table.select("fold", "draw", "w", "labels", "bins", "score").mapInArrow(
-                _histograms(cells, fronts, level, how.seed * 7919 + 2 * step, how), _PARTIAL)
+                _histograms(cells, fronts, level, how.seed * 7919 + 2 * step, how, rounds), _PARTIAL)
             found = partial.repartition(parts, "cell").mapInArrow(_splitter(cells, len(cuts), level, columns, how), _SPLITS).toArrow().to_pylist()
             first, ahead = (1 << level) - 1, {}
             for r in found:
@@ -407,9 +433,13 @@ def fit(rows: DataFrame, cells: Sequence[Cell], how: Rounds = Rounds()) -> Fitte
             level += 1
             rows_of = {c: n for c, n in ahead.items() if c in active and cells[c].depth > level}
             fronts = {c: _Front(trees[c], n > 0, n <= fewest(level, c)) for c, n in rows_of.items()}
+        if active:
+            rounds.append(_Round(trees, keep, max(cells[c].depth for c in trees)))
+        if rounds and (len(rounds) >= every or not active):
+            table, path = _replace(table.mapInArrow(_advance(rounds, how.rate), schema), path)
+            rounds = []
         if not active:
             break
-        table, path = _replace(table.mapInArrow(_advance(trees, keep, how.rate, max(cells[c].depth for c in trees)), schema), path)
     predictions = table.mapInArrow(_scored(cells, keep, names), f"id {ids}, fold int, w double, labels array<double>, cell int, p double")
     return Fitted(predictions, [int(b) for b in best], [float(x) for x in losses], history)
 
