@@ -157,6 +157,9 @@ def _poisson_table() -> np.ndarray:
 
 
 _POISSON = _poisson_table()
+#: the outcome is the number of these that 16 bits reach
+_POISSON_ENDS = np.searchsorted(_POISSON, np.arange(1, _POISSON.max() + 1)).astype(np.uint16)
+_DRAWN_ROWS = 256  # the work on so many rows stays in a core's cache
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -173,11 +176,21 @@ def poisson_draws(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     One 64-bit number per row and lane gives four draws of 16 bits each.
     """
     lanes = -(-replicates // 4)
+    out = np.empty((len(ids), lanes * 4), np.uint8)
     with np.errstate(over="ignore"):
         base = _mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        steps = (np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-        bits = _mix(base[:, None] + steps)
-    return _POISSON[bits.view(np.uint16).reshape(len(ids), lanes * 4)[:, :replicates]]
+        steps = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for lo in range(0, len(ids), _DRAWN_ROWS):
+            bits = base[lo : lo + _DRAWN_ROWS, None] + steps
+            held = np.empty_like(bits)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):  # as ``_mix``, in place
+                bits ^= np.right_shift(bits, np.uint64(shift), out=held)
+                bits *= np.uint64(factor)
+            lane, part = bits.view(np.uint16), out[lo : lo + _DRAWN_ROWS]
+            part[:] = 0
+            for end in _POISSON_ENDS:
+                part += lane >= end
+    return out[:, :replicates]
 
 
 def bootstrap_regression(df: DataFrame, id_col: str, y: str, p: str, w: str, replicates: int, seed: int) -> DataFrame:
@@ -191,12 +204,12 @@ def bootstrap_regression(df: DataFrame, id_col: str, y: str, p: str, w: str, rep
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros((replicates, len(names)))
         for pdf in batches:
-            for lo in range(0, len(pdf), 4096):
-                part = pdf.iloc[lo : lo + 4096]
+            for lo in range(0, len(pdf), 512):
+                part = pdf.iloc[lo : lo + 512]
                 yy, ww = part[y].to_numpy(float), part[w].to_numpy(float)
                 err = yy - part[p].to_numpy(float)
                 terms = np.stack([ww, ww * yy, ww * yy * yy, ww * err * err, ww * np.abs(err)], axis=1)
-                held += poisson_draws(part[id_col].to_numpy(), replicates, seed).T @ terms
+                held += (terms.T @ poisson_draws(part[id_col].to_numpy(), replicates, seed).astype(float)).T
         out = pd.DataFrame(held, columns=names)
         out.insert(0, "replicate", np.arange(replicates, dtype=np.int32))
         yield out
