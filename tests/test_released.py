@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidegauge import all_queries
 from tidegauge.operators import domain as D
 from tidegauge.operators import stats as S
 from tidegauge.operators.weights import released_weight
@@ -75,6 +76,18 @@ def test_gated_domain_adds_its_fifth(spark):
     assert len(few) == len(query) and not few["gate_in_domain"].any() and few["gate_distance"].isna().all()
 
 
+def test_knn_ad_counts_the_gate(spark, tmp_path):
+    """Its score left the distance gate's fifth out."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 64)], i % 10) for i in range(1600)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    plain, gated = (all_queries()[q](spark, str(tmp_path)).toPandas().set_index("id").sort_index() for q in ("knn_ad", "knn_ad_gated"))
+    similar = np.minimum(plain["nn_similarity"] / 0.35, 1) * 0.5
+    dense = np.minimum(plain["local_density"] / plain["local_density"].mean(), 1) * 0.3
+    assert 0 < gated["gate_in_domain"].sum() < len(gated) == len(plain)
+    assert np.allclose(plain["score"], similar + dense + 0.2 * gated["gate_in_domain"], atol=1e-4)
+
+
 def test_agreement_of_point_and_interval(spark):
     points = spark.createDataFrame(
         [("a", "r2", 0.50), ("b", "r2", 0.50), ("c", "r2", 0.40), ("a", "roc_auc", 0.80), ("a", "mae", 1.0), ("d", "r2", None)], "cell string, metric string, point double")
