@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import models as M
 from tidegauge.operators import stats as S
-from tidegauge.operators.aggregate import concentration, weighted_sample
+from tidegauge.operators.aggregate import bias_report, concentration, weighted_sample
 
 
 @pytest.fixture(scope="module")
@@ -150,3 +150,20 @@ def test_draws_pick_from_the_table_in_little_room():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert np.array_equal(got, want) and peak < 2 * got.size
+
+
+def test_bias_report_corrects_and_clips(spark):
+    """The shifts were found but never taken off; a source without anchors has shift 0."""
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"key": rng.integers(0, 40, 300), "source": rng.choice(["a", "b", "c"], 300), "x": rng.normal(7, 4, 300).round(2)})
+    rows = pd.concat([rows, pd.DataFrame({"key": [900, 901, 902], "source": ["alone"] * 3, "x": [1.0, 5.0, 13.0]})])
+    got = bias_report(spark.createDataFrame(rows), "key", "source", "x").toPandas().set_index("source")
+    anchored = rows[rows.groupby("key")["source"].transform("nunique") >= 2].copy()
+    anchored["d"] = anchored["x"] - anchored.groupby("key")["x"].transform("median")
+    shift = anchored.groupby("source")["d"].median()
+    assert got.loc["alone", ["shift", "n_anchors", "corrected_min", "corrected_max"]].tolist() == [0.0, 0, 2.0, 12.0]
+    for source, held in rows.groupby("source"):
+        fixed = (held["x"] - shift.get(source, 0.0)).clip(2, 12)
+        line = got.loc[source]
+        assert line["shift"] == pytest.approx(shift.get(source, 0.0)) and line["n_corrected"] == len(held)
+        assert line[["corrected_mean", "corrected_min", "corrected_max"]].tolist() == pytest.approx([fixed.mean(), fixed.min(), fixed.max()])
