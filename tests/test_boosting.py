@@ -152,3 +152,26 @@ def test_empty_folds_and_one_class(spark):
     rows = [(i, i % 2, 1.0, [1.0], [float(i)]) for i in range(20)]
     done = B.fit(spark.createDataFrame(rows, SCHEMA), [B.Cell(0, 2), B.Cell(5, 2)], B.Rounds(most=2, patience=1))
     assert {round(r.p, 6) for r in done.predictions.collect()} == {1.0}
+
+
+def test_whole_cells_in_a_task_are_those_of_rounds(spark, monkeypatch):
+    """A grid took a job a round, however few its rows were."""
+    rows = [(i, f, w, [float("nan") if i % 7 == 0 else y[0], y[1]], x) for i, f, w, y, x in data(400, 8)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    how = B.Rounds(most=12, patience=3, rate=0.5, bins=8)
+    cells = [B.Cell(0, 4), B.Cell(1, 3, 5.0, 0.1), B.Cell(-1, 2), B.Cell(2, 3, 1.0, 0.1, 1, "logistic"), B.Cell(9, 2)]
+    jobs = []
+    histograms = B._histograms
+    monkeypatch.setattr(B, "_histograms", lambda *a: jobs.append(a[2]) or histograms(*a))
+    found = {}
+    for most in (B.OWN_ROWS, 399):
+        monkeypatch.setattr(B, "OWN_ROWS", most)
+        jobs.clear()
+        done = B.fit_cells(frame, cells, how)
+        found[most] = ({(r.cell, r.id): (r.fold, r.w, repr(r.labels), r.p) for r in done.predictions.collect()}, done.rounds)
+        found[most, "losses"] = done.losses, [x for h in done.history for x in h]
+        assert bool(jobs) == (most == 399)
+    a, b = (found[k] for k in found if not isinstance(k, tuple))
+    assert a == b and len(a[0]) == sum((f == c.held) + (f < 0 and f != c.held) for _, f, *_ in rows for c in cells)
+    one, two = (found[k] for k in found if isinstance(k, tuple))
+    assert one[0] == pytest.approx(two[0]) and one[1] == pytest.approx(two[1])

@@ -17,9 +17,13 @@ level of a round is one job, whatever the number of settings and folds.
   stops by itself after ``patience`` rounds without a new least loss, and each row keeps its
   scores as of the best round; the other cells go on without it.
 * Gradients are summed in fixed point, so the trees do not depend on how rows are dealt.
+* ``fit_cells`` takes a table of up to OWN_ROWS rows to the cells instead: a task holds its
+  rows as bytes and fits some cells from the first round to the last, so the grid is one job.
+  Trees, rounds and predictions are those of ``fit``, which every larger table takes.
 
 Memory of a task is cells x leaves x features x bins; nothing grows with the rows but the
-table of scores (two floats a row and cell).
+table of scores (two floats a row and cell).  A task of ``fit_cells`` needs some 200 bytes a
+row, whatever the number of cells.
 """
 
 from __future__ import annotations
@@ -41,6 +45,7 @@ from tidegauge.session import new_folder, stage
 _SCALE = float(1 << 20)
 _WIDE = 16  # bytes of a gradient and a curvature
 LEAST_BINS = 1 << 11  # subtrees count as no smaller than that: below it a job costs more than rows
+OWN_ROWS = 1 << 21  # rows that a task of ``fit_cells`` holds at most
 WRITE_EVERY = 8  # rounds that tasks add anew to the scores, if a round is one job
 _SPLITS = "cell int, node int, feature int, cut int, left_g double, left_h double, g double, h double"
 _PARTIAL = "cell int, at binary, g binary, h binary, node binary, bins binary, own_g binary, own_h binary, loss double, weight double"
@@ -131,12 +136,14 @@ def _matrix(column: pa.Array, kind, rows: int) -> np.ndarray:
 
 
 def _place(bins: np.ndarray, tree: _Tree, levels: int) -> np.ndarray:
-    """Each row's node after at most ``levels`` splits."""
-    node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-    for _ in range(levels):
-        at = tree.feature[node]
-        down = at >= 0
-        node = np.where(down, 2 * node + 1 + (bins[rows, np.maximum(at, 0)] > tree.cut[node]), node)
+    """Each row's node after at most ``levels`` splits; a leaf leads to itself."""
+    leaf = tree.feature < 0
+    at, ahead = np.where(leaf, 0, tree.feature).astype(np.int64), np.arange(len(leaf))
+    ahead = np.where(leaf, ahead, 2 * ahead + 1)
+    cut = np.where(leaf, 255, tree.cut).astype(np.uint8)
+    node, flat, first = np.zeros(len(bins), np.int64), bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+    for _ in range(levels if len(flat) else 0):
+        node = ahead[node] + (flat[first + at[node]] > cut[node])
     return node
 
 
@@ -263,8 +270,11 @@ def _subtrees(node: np.ndarray, bins: np.ndarray, g: np.ndarray, h: np.ndarray,
     out, features = [], bins.shape[1]
     while level < cell.depth and len(node):
         shape = (1 << level, features, how.bins + 1)
-        key = ((node[:, None] * features + np.arange(features)) * shape[2] + bins).ravel()
-        sums = [np.bincount(key, np.repeat(x, features), int(np.prod(shape))).reshape(shape) / _SCALE for x in (g, h)]
+        sums = np.zeros((2, *shape))
+        for f in {0, *np.flatnonzero(columns).tolist()}:  # a node's total is that of the first feature
+            key = node * shape[2] + bins[:, f]
+            for total, x in zip(sums, (g, h), strict=True):
+                total[:, f] = np.bincount(key, x, shape[0] * shape[2]).reshape(shape[0], -1) / _SCALE
         found = best_splits(*sums, columns, cell.child_weight, cell.alpha, how.penalty)
         out += [(r[0] + (1 << level) - 1, *r[1:]) for r in found]
         feature, cut = np.full(1 << level, -1), np.zeros(1 << level, int)
@@ -361,15 +371,30 @@ def _leaf(g: float, h: float, cell: Cell, how: Rounds) -> float:
     return math.copysign(max(abs(g) - cell.alpha, 0.0), -g) / (h + how.penalty)
 
 
-def fit(rows: DataFrame, cells: Sequence[Cell], how: Rounds = Rounds()) -> Fitted:  # noqa: B008
-    """Fits every cell to its own best round.
+def _columns(features: int, step: int, how: Rounds) -> np.ndarray:
+    """The features that a round may split."""
+    picks = _uniform(np.arange(features, dtype=np.int64), how.seed * 7919 + 2 * step + 1)
+    columns = np.zeros(features, bool)
+    columns[np.argsort(picks, kind="stable")[: max(1, round(how.column_share * features))]] = True
+    return columns
 
-    ``rows`` has id, fold (int), w, labels (array<double>; NaN: unknown, the row is left out
-    of the cells of that label) and features (array<double>).  Folds below 0 are trained on
-    by no cell.  A row is scored by the cells that hold its fold out, and if its fold is
-    below 0 by all: no prediction comes from a model that has seen the row.
-    """
-    spark = rows.sparkSession
+
+def _bare(depth: int) -> _Tree:
+    nodes = (2 << depth) - 1
+    return _Tree(np.full(nodes, -1, np.int16), np.zeros(nodes, np.uint8), np.zeros(nodes))
+
+
+def _plant(tree: _Tree, cell: Cell, how: Rounds, node: int, feature: int, cut: int, left_g: float, left_h: float, g: float, h: float) -> None:
+    """Writes one found split, or leaf, into the tree."""
+    tree.value[node] = _leaf(g, h, cell, how)
+    if feature >= 0:
+        tree.feature[node], tree.cut[node] = feature, cut
+        tree.value[2 * node + 1] = _leaf(left_g, left_h, cell, how)
+        tree.value[2 * node + 2] = _leaf(g - left_g, h - left_h, cell, how)
+
+
+def _starts(rows: DataFrame, cells: Sequence[Cell], how: Rounds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature cuts, and of each cell its starting score and the rows that a round draws."""
     cuts = feature_cuts(rows, "features", how.bins)
     sums = rows.select("fold", "w", F.posexplode("labels").alias("label", "y")).where(~F.isnan("y")).groupBy("fold", "label").agg(
         F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("w"), F.count("*").alias("n")).collect()  # folds x labels rows
@@ -379,12 +404,109 @@ def fit(rows: DataFrame, cells: Sequence[Cell], how: Rounds = Rounds()) -> Fitte
         sizes[c] = how.row_share * sum(r["n"] for r in own)
         mean = sum(r["wy"] for r in own) / max(sum(r["w"] for r in own), 1e-12)
         base[c] = mean if cell.loss == "squared" else np.log(np.clip(mean, 1e-6, 1 - 1e-6) / (1 - np.clip(mean, 1e-6, 1 - 1e-6)))
+    return cuts, base, sizes
+
+
+def _encoded(rows: DataFrame, cuts: np.ndarray, base: np.ndarray) -> DataFrame:
+    """Rows with bins; a small table would be one file, and every pass over it one task."""
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, fold int, draw bigint, w double, labels array<double>, bins binary, score binary, kept binary"
+    dealt = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "id")
+    return dealt.select("id", F.col("fold").cast("int").alias("fold"), F.xxhash64("id").alias("draw"), F.col("w").cast("double").alias("w"), "labels", "features").mapInArrow(
+        _encoder(cuts, base), schema)
+
+
+def _fit_alone(cell: Cell, bins: np.ndarray, fold: np.ndarray, draw: np.ndarray, w: np.ndarray, y: np.ndarray, base: float, how: Rounds) -> tuple[np.ndarray, int, float, list[float]]:
+    """A cell from its first round to its last: scores of the best round, that round, its loss and all losses."""
+    known = ~np.isnan(y)
+    train, own = np.flatnonzero(known & (fold >= 0) & (fold != cell.held)), np.flatnonzero(known & (fold == cell.held))
+    score = np.full(len(y), base, np.float32)
+    kept, best, least, history = score, 0, np.inf, []
+    drawn, x, y_train, w_train = draw[train], bins[train], y[train], w[train]
+    for step in range(how.most + 1):
+        if step:
+            loss = float(_gradients(cell, score[own].astype(float), y[own], w[own])[2].sum() / max(w[own].sum(), 1e-12))
+            history.append(loss)
+            if loss < least:
+                kept, best, least = score, step, loss
+        if step == how.most or step and step - best >= how.patience:
+            break
+        use = np.flatnonzero(_uniform(drawn, how.seed * 7919 + 2 * step) < how.row_share)
+        g, h, _ = _gradients(cell, score[train[use]].astype(float), y_train[use], w_train[use])
+        found = _subtrees(np.zeros(len(use), np.int64), x[use], np.rint(g * _SCALE), np.rint(h * _SCALE), cell, 0, _columns(bins.shape[1], step, how), how)
+        if not found:
+            break
+        tree = _bare(cell.depth)
+        for r in found:
+            _plant(tree, cell, how, *r)
+        score = score + np.float32(how.rate) * tree.value[_place(bins, tree, cell.depth)].astype(np.float32)
+    return kept, best, least, history
+
+
+def _alone(cells: Sequence[Cell], base: np.ndarray, parts: int, how: Rounds, names: Sequence[str]):
+    """All rows, in some part, to the predictions of the part's cells, and one row a cell with its losses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bins, schema = [], [], None
+        for batch in batches:
+            if batch.num_rows:
+                schema = batch.schema
+                bins.append(_matrix(batch.column("bins"), np.uint8, batch.num_rows))
+                held.append(batch.drop_columns(["bins"]))
+        if not held:
+            return
+        table, x = pa.Table.from_batches(held).combine_chunks(), np.concatenate(bins)
+        del held, bins
+        fold, draw, w = (table.column(c).to_numpy() for c in ("fold", "draw", "w"))
+        flat = table.column("labels").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        blank = {n: pa.nulls(1, schema.field(n).type) for n in names}
+        for c in range(table.column("part")[0].as_py(), len(cells), parts):
+            cell = cells[c]
+            score, best, least, history = _fit_alone(cell, x, fold, draw, w, flat[:, cell.label], base[c], how)
+            yield pa.record_batch(
+                [*blank.values(), pa.array([c], pa.int32()), pa.array([least]), pa.array([best], pa.int32()), pa.array([history], pa.list_(pa.float64()))],
+                names=[*names, "cell", "p", "round", "history"])
+            rows = np.flatnonzero((fold == cell.held) | (fold < 0))
+            for lo in range(0, len(rows), 1 << 16):
+                part = rows[lo : lo + (1 << 16)]
+                value = score[part].astype(float)
+                p = 1.0 / (1.0 + np.exp(-value)) if cell.loss == "logistic" else value
+                own = table.select(list(names)).take(pa.array(part)).combine_chunks()
+                yield pa.record_batch(
+                    [*(own.column(n).combine_chunks() for n in names), pa.array(np.full(len(part), c, np.int32)), pa.array(p), pa.nulls(len(part), pa.int32()),
+                     pa.nulls(len(part), pa.list_(pa.float64()))], names=[*names, "cell", "p", "round", "history"])
+
+    return run
+
+
+def fit_cells(rows: DataFrame, cells: Sequence[Cell], how: Rounds = Rounds()) -> Fitted:  # noqa: B008
+    """``fit``; a table of up to OWN_ROWS rows goes to the cells, some cells a task."""
+    if rows.count() > OWN_ROWS:
+        return fit(rows, cells, how)
+    cuts, base, _ = _starts(rows, cells, how)
+    names, ids = ["id", "fold", "w", "labels"], rows.schema["id"].dataType.simpleString()
+    table = stage(_encoded(rows, cuts, np.zeros(0)).drop("score", "kept"))
+    parts = max(1, min(len(cells), 2 * rows.sparkSession.sparkContext.defaultParallelism))
+    sent = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartitionById(parts, F.col("part"))
+    done = stage(sent.mapInArrow(_alone(cells, base, parts, how, names), f"id {ids}, fold int, w double, labels array<double>, cell int, p double, round int, history array<double>"))
+    lines = {r["cell"]: r for r in done.where("history IS NOT NULL").select("cell", "p", "round", "history").collect()}  # one a cell
+    order = [lines.get(c) for c in range(len(cells))]
+    return Fitted(done.where("history IS NULL").drop("round", "history"), [r["round"] if r else 0 for r in order],
+                  [r["p"] if r else math.inf for r in order], [list(r["history"]) if r else [] for r in order])
+
+
+def fit(rows: DataFrame, cells: Sequence[Cell], how: Rounds = Rounds()) -> Fitted:  # noqa: B008
+    """Fits every cell to its own best round.
+
+    ``rows`` has id, fold (int), w, labels (array<double>; NaN: unknown, the row is left out
+    of the cells of that label) and features (array<double>).  Folds below 0 are trained on
+    by no cell.  A row is scored by the cells that hold its fold out, and if its fold is
+    below 0 by all: no prediction comes from a model that has seen the row.
+    """
+    spark = rows.sparkSession
+    cuts, base, sizes = _starts(rows, cells, how)
     ids, names = rows.schema["id"].dataType.simpleString(), ["id", "fold", "w", "labels"]
     schema = f"id {ids}, fold int, draw bigint, w double, labels array<double>, bins binary, score binary, kept binary"
-    # a small table would be one file, and every pass over it one task
-    dealt = rows.repartition(spark.sparkContext.defaultParallelism, "id")
-    table, path = _replace(dealt.select("id", F.col("fold").cast("int").alias("fold"), F.xxhash64("id").alias("draw"), F.col("w").cast("double").alias("w"), "labels", "features")
-                           .mapInArrow(_encoder(cuts, base), schema), None)
+    table, path = _replace(_encoded(rows, cuts, base), None)
     parts = max(1, min(len(cells), int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
     fewest = lambda level, c: (_WIDE + 4) * max(LEAST_BINS, ((1 << (cells[c].depth - level)) - 1) * (how.bins + 1))
     every = WRITE_EVERY if all(sizes[c] <= fewest(0, c) for c in range(len(cells))) else 1
@@ -392,10 +514,8 @@ def fit(rows: DataFrame, cells: Sequence[Cell], how: Rounds = Rounds()) -> Fitte
     losses, best, history = np.full(len(cells), np.inf), np.zeros(len(cells), int), [[] for _ in cells]
     active, keep = set(range(len(cells))), np.zeros(len(cells), bool)
     for step in range(how.most + 1):
-        picks = _uniform(np.arange(len(cuts), dtype=np.int64), how.seed * 7919 + 2 * step + 1)
-        columns = np.zeros(len(cuts), bool)
-        columns[np.argsort(picks, kind="stable")[: max(1, round(how.column_share * len(cuts)))]] = True
-        trees = {c: _Tree(np.full((2 << cells[c].depth) - 1, -1, np.int16), np.zeros((2 << cells[c].depth) - 1, np.uint8), np.zeros((2 << cells[c].depth) - 1)) for c in active}
+        columns = _columns(len(cuts), step, how)
+        trees = {c: _bare(cells[c].depth) for c in active}
         keep = np.zeros(len(cells), bool)
         fronts = {c: _Front(t, np.ones(1, bool), np.array([sizes[c] <= fewest(0, c)])) for c, t in trees.items()}
         rows_of = {c: np.array([sizes[c]]) for c in fronts}  # about as many rows are in each node
@@ -415,11 +535,8 @@ def fit(rows: DataFrame, cells: Sequence[Cell], how: Rounds = Rounds()) -> Fitte
                             losses[c], best[c], keep[c] = loss, step, True
                     continue
                 tree = trees[c]
-                tree.value[node] = _leaf(r["g"], r["h"], cells[c], how)
+                _plant(tree, cells[c], how, node, *(r[k] for k in ("feature", "cut", "left_g", "left_h", "g", "h")))
                 if r["feature"] >= 0:
-                    tree.feature[node], tree.cut[node] = r["feature"], r["cut"]
-                    tree.value[2 * node + 1] = _leaf(r["left_g"], r["left_h"], cells[c], how)
-                    tree.value[2 * node + 2] = _leaf(r["g"] - r["left_g"], r["h"] - r["left_h"], cells[c], how)
                     if node - first < 1 << level and not fronts[c].small[node - first]:
                         share = r["left_h"] / r["h"]
                         at = 2 * (node - first)
@@ -461,7 +578,7 @@ def cross_validated(rows: DataFrame, settings: Sequence[tuple[int, float, float]
     the first one of equal scores.
     """
     cells = grid_cells(settings, folds)
-    done = fit(rows, cells, how)
+    done = fit_cells(rows, cells, how)
     rmse = np.sqrt(np.array(done.losses)).reshape(len(settings), len(folds)).mean(axis=1)
     rounds = np.median(np.array(done.rounds).reshape(len(settings), len(folds)), axis=1)
     lookup = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.floor(F.col("cell") / len(folds)).cast("int") + 1)
@@ -505,7 +622,7 @@ def stack(
     """
     held = [*folds, -1]
     cells = [*grid_cells([first], held, 0, "squared"), *grid_cells([first], held, 1, "logistic")]
-    done = fit(rows, cells, base)
+    done = fit_cells(rows, cells, base)
     value, chance = own_predictions(done, cells, 0), own_predictions(done, cells, 1)
     known = ~F.isnan(F.col("labels")[0])
     mean = rows.where((F.col("fold") >= 0) & known).agg(F.avg(F.col("labels")[0]).alias("m")).first()["m"] or 0.0
@@ -513,7 +630,7 @@ def stack(
                 .join(value.withColumnsRenamed({"p": "value"}), "id").join(chance.withColumnsRenamed({"p": "base"}), "id"))
     level = fed.select("id", "fold", "w", F.array("y").alias("labels"), F.array(F.when(F.col("covered"), F.col("value")).otherwise(mean), "base").alias("features"))
     top_cells = grid_cells(settings, held, 0, "logistic")
-    over = fit(level, top_cells, top)
+    over = fit_cells(level, top_cells, top)
     found = over.predictions.withColumn("config", F.floor(F.col("cell") / len(held)).cast("int"))
     auc = weighted_auc(stage(found.where("fold >= 0").select("config", "fold", F.col("labels")[0].alias("y"), "p", "w")), ["config", "fold"], "y", "p", "w")
     mean_auc = {r["config"]: r["a"] for r in auc.groupBy("config").agg(F.avg("roc_auc").alias("a")).collect()}  # one row a setting
