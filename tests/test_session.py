@@ -6,6 +6,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from tidegauge import session as N
+from tidegauge.operators import pairwise as P
 from tidegauge.plans import curation as C
 
 
@@ -45,3 +46,15 @@ def test_records_meet_before_they_are_annotated(spark, monkeypatch):
         rows = contract_rows(Tables(spark, folder))
         C.curate(rows, organism={"M": "mouse", "H": "human"})
         assert set(seen[0]) == {*rows.columns, "_ord"}
+
+
+def test_pairs_leave_their_steps_behind(spark, monkeypatch):
+    """Profiles and placed candidates of both passes stayed to the end."""
+    tables = []
+    plain = P.stage
+    monkeypatch.setattr(P, "stage", lambda df: tables.append(plain(df)) or tables[-1])
+    rows = [(i, [f"t{j}" for j in range(i % 5, 30)]) for i in range(60)]
+    pairs = P.similar_sets(spark.createDataFrame(rows, "id bigint, tokens array<string>"), "tokens", 0.8)
+    assert pairs.count() == 10
+    there = {c for t in tables if Path(t.inputFiles()[0].removeprefix("file:")).exists() for c in t.columns}
+    assert there == {"set_key", "pid", "n_members", "tokens", "left", "right", "similarity"}
